@@ -56,8 +56,8 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     newline = np.flatnonzero(buffer == 10)
     line_start = np.unique(np.concatenate([words.text_start[words.text_end > words.text_start], newline + 1]))
     line_start = line_start[line_start < len(buffer)]
-    stops = np.unique(np.concatenate([newline, words.text_end]))
-    line_end = stops[np.searchsorted(stops, line_start)] if len(line_start) else line_start
+    text_stop = words.text_end[np.searchsorted(words.text_end, line_start, side="right")]
+    line_end = np.minimum(np.append(newline, len(buffer))[np.searchsorted(newline, line_start)], text_stop)
     first_word = np.searchsorted(words.start, line_start)
     last_word = np.searchsorted(words.start, line_end)
     full = last_word > first_word
