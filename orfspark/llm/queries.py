@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .attribution import attribute
+from .hamming import nearest_codes
 from .mixing import mix
 from .near import near_duplicates
 from .packing import pack
+from .pages import extract
 from .quality import quality_rules
+from .quotes import link_quotes
 from .substrings import removed_spans
+from .toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +26,14 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(_table(spark, sf_dir, "conversations"))
+
+
+def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_codes(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -33,14 +46,43 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_spans(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribute(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_source_mixing, op4_best_fit_packing, op5_minhash_near_dedup, op6_quality_rules, op9_substring_dedup)
+    found = (
+        op1_source_mixing, op2_quotation_linking, op3_hamming_top_k, op4_best_fit_packing, op5_minhash_near_dedup, op6_quality_rules,
+        op7_toxicity, op8_html_extraction, op9_substring_dedup, op10_token_attribution,
+    )
     return {f.__name__: f for f in found}
 
 
+#: Binary codes and brute force over all pairs of a query and a row; the other operators are beyond SQL.
+HAMMING_SQL = """
+WITH coded AS (
+  SELECT vec_id, list_aggregate(list_transform(range(64), i -> CASE WHEN coalesce(embedding[i + 1], 0) > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), ranked AS (
+  SELECT q.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY hamming(q.code, d.code), d.vec_id) AS rank,
+         d.vec_id AS neighbor_id, hamming(q.code, d.code) AS distance
+  FROM coded q CROSS JOIN coded d WHERE q.vec_id % 50 = 0
+)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, CAST(distance AS INTEGER) AS distance FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_hamming_top_k": HAMMING_SQL}
