@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one vectorised step takes; a longer text is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
+
+
+def _release() -> None:
+    """Give freed memory back, so that a worker between tasks holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each one's ``text`` column holds about ``limit`` bytes; at least one row each, in order."""
+    try:
+        yield from _steps(batches, text, limit)
+    finally:
+        _release()
+
+
+def _steps(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")
         if not len(column):

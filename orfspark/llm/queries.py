@@ -73,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Binary codes and brute force over all pairs of a query and a row; the other operators are beyond SQL.
 HAMMING_SQL = """
 WITH coded AS (
-  SELECT vec_id, list_aggregate(list_transform(range(64), i -> CASE WHEN coalesce(embedding[i + 1], 0) > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS code
+  SELECT vec_id, list_aggregate(list_transform(range(64), lambda i: CASE WHEN coalesce(embedding[i + 1], 0) > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS code
   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
 ), ranked AS (
   SELECT q.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY hamming(q.code, d.code), d.vec_id) AS rank,

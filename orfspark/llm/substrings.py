@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .arrow import column, steps
 from .scratch import Scratch, restrict, without
 from .spans import SuffixAutomaton
-from .wordhash import _powers, mix64, split_words, windows, word_hashes
+from .wordhash import mix64, run_hashes, split_words, windows, word_hashes
 
 #: Words of a window; a window that recurs anywhere is removed.
 WINDOW = 35
@@ -51,12 +51,8 @@ def _anchors(texts: pa.Array, size: int) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(s, len(ok)))
     first = ok[s]
     stop = first + count + size - 1
-    base = 0x9E3779B97F4A7C1B
     with np.errstate(over="ignore"):
-        prefix = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * _powers(base, len(h)), out=prefix[1:])
-        whole = (prefix[stop] - prefix[first]) * _powers(pow(base, -1, 1 << 64), len(h))[first]
-        whole = mix64(whole + count.astype(np.uint64), 77)
+        whole = mix64(run_hashes(h, first, stop) + count.astype(np.uint64), 77)
     return doc[s], g[at[s]].view(np.int64), whole.view(np.int64), first - words.first[doc[s]], count
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import column, steps
+from .near import BAND, REGISTERS, registers
 from .scratch import Scratch, restrict
-from .wordhash import Words, split_words, word_hashes
+from .wordhash import Words, shingles, split_words, word_hashes
 
 #: Labelled rows that the classifier learns from, at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 12_000
@@ -22,6 +23,10 @@ FOLDS = 5
 FEATURES, LEAST_DOCS, LEAST_GAIN = 2048, 4, 20.0
 #: Weight of the squared score change under a swap, and of the squared weights.
 COUNTERFACTUAL, RIDGE = 4.0, 0.02
+#: Share of a row's features that each step of the fit leaves out, so that one of them comes to be enough.
+DROPOUT = 0.5
+#: Bands of a row's sketch by which near-copies among the training rows are found; one of each group is learnt from.
+COPY_BANDS = 24
 #: Beginnings of words that are features, in bytes.
 BEGINNINGS = (4, 5, 6)
 
@@ -120,15 +125,20 @@ def fit(pairs: tuple[np.ndarray, np.ndarray], swapped: tuple[np.ndarray, np.ndar
     n, swaps = len(toxic), max(1, int(has_swap.sum()))
     w, bias = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
+    rng = np.random.default_rng(5)
+    every = row, at
     rate = toxic.mean()
     bias = float(np.log(max(rate, 1e-3) / max(1 - rate, 1e-3)))
     for step in range(1, 401):
+        left = rng.random(len(every[0])) >= DROPOUT
+        row, at = every[0][left], every[1][left]
         logit = bias + np.bincount(row, w[at], minlength=n)
         slope = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic) / n
         gradient = np.bincount(at, slope[row], minlength=size) + RIDGE / n * w
         if has_swap.any():
-            change = np.where(has_swap, logit - bias - np.bincount(swap_row, w[swap_at], minlength=n), 0) * 2 * COUNTERFACTUAL / swaps
-            gradient += np.bincount(at, change[row], minlength=size) - np.bincount(swap_at, change[swap_row], minlength=size)
+            whole = np.bincount(every[0], w[every[1]], minlength=n)
+            change = np.where(has_swap, whole - np.bincount(swap_row, w[swap_at], minlength=n), 0) * 2 * COUNTERFACTUAL / swaps
+            gradient += np.bincount(every[1], change[every[0]], minlength=size) - np.bincount(swap_at, change[swap_row], minlength=size)
         gb = slope.sum()
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
@@ -146,6 +156,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = scratch.save(chosen, "chosen")
     texts = restrict(docs.select("doc_id", "text"), chosen.select("doc_id"), "doc_id").join(F.broadcast(chosen), "doc_id")  # TRAIN_ROWS rows
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps(batches, "text"):
+            values, offsets, _ = shingles(column(step, "text"))
+            bands = registers(values, offsets).reshape(-1, REGISTERS // BAND, BAND)[:, :COPY_BANDS].copy().view(np.int64).reshape(-1, COPY_BANDS)
+            yield pa.RecordBatch.from_arrays([column(step, "doc_id"), pa.array(list(bands), pa.list_(pa.int64()))], ["doc_id", "keys"])
+
+    bands = scratch.save(texts.mapInArrow(keys, "doc_id long, keys array<long>").select("doc_id", F.posexplode("keys").alias("band", "key")), "bands")
+    heads = bands.groupBy("band", "key").agg(F.min("doc_id").alias("head"))
+    copies = bands.join(heads, ["band", "key"]).where("head < doc_id").select("doc_id").distinct()
+    chosen = scratch.save(chosen.join(copies, "doc_id", "left_anti"), "different")
+    texts = restrict(docs.select("doc_id", "text"), chosen.select("doc_id"), "doc_id").join(F.broadcast(chosen), "doc_id")
+
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, "text"):
             owner, values = features(column(step, "text"))

@@ -94,28 +94,29 @@ def word_hashes(words: Words, seed: int = 0, lower: bool = False) -> np.ndarray:
     n = len(words.buffer)
     if not len(words.start):
         return np.zeros(0, np.uint64)
-    base = ((_BASE + 2 * seed) | 1) & _MASK
-    inverse = pow(base, -1, 1 << 64)
     with np.errstate(over="ignore"):
+        terms = _TABLES[key][words.buffer]
+        terms *= powers(n)
         prefix = np.empty(n + 1, np.uint64)
         prefix[0] = 0
-        np.cumsum(_TABLES[key][words.buffer] * _powers(base, n), out=prefix[1:])
-        total = (prefix[words.end] - prefix[words.start]) * _powers(inverse, n)[words.start]
+        np.cumsum(terms, out=prefix[1:])
+        total = (prefix[words.end] - prefix[words.start]) * powers(n, inverse=True)[words.start]
         return mix64(total + (words.end - words.start).astype(np.uint64), seed)
 
 
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of one odd base, or of its inverse modulo 2 ** 64. Both are kept as long as the longest step needs."""
+    base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (max(n, 1) - 1).bit_length())
         with np.errstate(over="ignore"):
-            have = np.ones(1, np.uint64)
-            while len(have) < size:
-                have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-        _POWERS.clear() if len(_POWERS) > 8 else None
+            have = np.ones(1, np.uint64) if have is None else have
+            while len(have) < n:
+                more = have[: n - len(have)] * np.uint64(pow(base, len(have), 1 << 64))
+                have = np.concatenate([have, more])
         _POWERS[base] = have
     return have[:n]
 
@@ -125,20 +126,25 @@ def windows(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base = ((_BASE * 5 + 2 * seed) | 1) & _MASK
     with np.errstate(over="ignore"):
         if width <= 8:
             out = np.zeros(n, np.uint64)
             for k in range(width):
-                out = out * np.uint64(base) + hashes[k : k + n]
+                out *= np.uint64(_BASE)
+                out += hashes[k : k + n]
         else:
-            inverse = pow(base, -1, 1 << 64)
-            prefix = np.zeros(len(hashes) + 1, np.uint64)
-            np.cumsum(hashes * _powers(base, len(hashes)), out=prefix[1:])
-            out = (prefix[width:] - prefix[:-width]) * _powers(inverse, n)
+            out = run_hashes(hashes, np.arange(n), np.arange(width, len(hashes) + 1))
         return mix64(out, seed + 7)
 
 
+def run_hashes(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A polynomial of the hashes in each range [first, stop), the same wherever the range stands."""
+    with np.errstate(over="ignore"):
+        prefix = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * powers(len(hashes)), out=prefix[1:])
+        return (prefix[stop] - prefix[first]) * powers(len(hashes), inverse=True)[first]
+
+
 def shingles(texts: pa.Array, width: int = 5, seed: int = 0, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes per text: sorted values, offsets by text, and the number of words of each text.
 
