@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,14 @@ class WordEncoder:
     """Token ids of texts, for tokenizers whose normaliser and splitter treat white space as a boundary and drop it.
 
     No token of such a vocabulary spans white space and no rule looks across it, so a text's ids are its words' ids in
-    order; words are the runs between the six ASCII spaces, and what other spaces do stays the tokenizer's business.
+    order; words are the runs between the six ASCII spaces, and what other spaces do stays the tokenizer's business. The
+    ASCII marks after a word's last letter or digit are always a piece of their own to the splitter, unless an apostrophe is
+    about, and A-Z are lower case to the normaliser; so each piece in lower case is encoded once, many to a call.
     """
 
+    #: Pieces of one call.
+    TOGETHER = 500
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -39,43 +45,78 @@ class WordEncoder:
         return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        lengths = [len(e.ids) for e in found]
-        total = sum(lengths)
-        self.ids, self.left, self.right = (self._room(x, self.used + total) for x in (self.ids, self.left, self.right))
-        self.begin, self.number = (self._room(x, self.size + len(words)) for x in (self.begin, self.number))
-        at = self.used
-        for h, e, n in zip(hashes, found, lengths, strict=True):
-            self.slots[h] = self.size
-            self.begin[self.size], self.number[self.size] = at, n
-            self.ids[at : at + n] = e.ids
-            if n:
-                spans = np.array(e.offsets)
-                self.left[at : at + n], self.right[at : at + n] = spans[:, 0], spans[:, 1]
-            at += n
-            self.size += 1
-        self.used = at
+        """Encode new pieces, put together with spaces; the offsets tell which tokens are whose."""
+        groups = [words[i : i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
+        for i, e in enumerate(self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            size = np.array([len(w) for w in groups[i]])
+            begin = np.cumsum(size + 1) - size - 1
+            spans = np.array(e.offsets, np.int64).reshape(-1, 2)
+            own = np.searchsorted(begin, spans[:, 0], side="right") - 1
+            n, m = len(spans), len(size)
+            self.ids, self.left, self.right = (self._room(x, self.used + n) for x in (self.ids, self.left, self.right))
+            self.begin, self.number = (self._room(x, self.size + m) for x in (self.begin, self.number))
+            number = np.bincount(own, minlength=m)
+            self.ids[self.used : self.used + n] = e.ids
+            self.left[self.used : self.used + n], self.right[self.used : self.used + n] = spans[:, 0] - begin[own], spans[:, 1] - begin[own]
+            self.begin[self.size : self.size + m], self.number[self.size : self.size + m] = self.used + np.cumsum(number) - number, number
+            self.used, self.size = self.used + n, self.size + m
+        self.slots.update(zip(hashes, range(self.size - len(words), self.size), strict=True))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words, np.ndarray, np.ndarray]:
-        """Ids, their offsets by text, the words, the word of each token, and the token's place in the memory."""
-        words = split_words(texts)
-        coded = pa.array(word_hashes(words, 81)).dictionary_encode()
+        """Ids, their offsets by text, the pieces, the piece of each token, and the token's place in the memory."""
+        words = _pieces(split_words(texts))
+        coded = pa.array(word_hashes(words, 81, lower=True)).dictionary_encode()
         which, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.size + len(distinct) > MOST_WORDS:
             self._forget()
-        new = [i for i, h in enumerate(distinct) if h not in self.slots]
-        if new:
-            where = np.full(len(distinct), -1)
+        slots = np.fromiter(map(self.slots.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            where = np.zeros(len(distinct), np.int64)
             where[which[::-1]] = np.arange(len(which))[::-1]
-            data = words.buffer.tobytes()
-            self._learn([distinct[i] for i in new], [data[words.start[w] : words.end[w]].decode() for w in where[new]])
-        slot = np.array([self.slots[h] for h in distinct], np.int64)[which] if distinct else np.zeros(0, np.int64)
+            data, base = words.buffer.tobytes(), self.size
+            starts, ends = words.start[where[new]].tolist(), words.end[where[new]].tolist()
+            self._learn([distinct[i] for i in new.tolist()], [data[a:b].decode() for a, b in zip(starts, ends, strict=True)])
+            slots[new] = np.arange(base, self.size)
+        slot = slots[which]
         number = self.number[slot]
-        before = np.concatenate([[0], np.cumsum(number)])
+        before = np.zeros(len(slot) + 1, np.int64)
+        np.cumsum(number, out=before[1:])
         place = np.repeat(self.begin[slot] - before[:-1], number) + np.arange(before[-1])
         return self.ids[place], before[words.first], words, np.repeat(np.arange(len(slot)), number), place
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:127] = True
+_MARK &= ~_ALNUM
+_MARK[0x27] = False
+#: Marks after a word that are told apart, at most.
+_MOST_MARKS = 6
+
+
+def _pieces(words: Words) -> Words:
+    """Words cut before the marks at their end, where these follow an ASCII letter or digit or a Latin-1 letter and no
+    apostrophe is in the word."""
+    buffer, start, end = words.buffer, words.start, words.end.copy()
+    if not len(start):
+        return words
+    for _ in range(_MOST_MARKS):
+        end -= _MARK[buffer[end - 1]] & (end - start > 1)
+    last = buffer[end - 1]
+    latin = (end - start > 1) & (buffer[end - 2] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+    quotes = np.zeros(len(buffer) + 1, np.int32)
+    np.cumsum(buffer == 0x27, out=quotes[1:])
+    cut = (end < words.end) & (_ALNUM[last] | latin) & (quotes[words.end] == quotes[start])
+    number = 1 + cut
+    first = np.cumsum(number) - number
+    starts, ends = np.repeat(start, number), np.repeat(words.end, number)
+    ends[first[cut]] = end[cut]
+    starts[first[cut] + 1] = end[cut]
+    return Words(buffer, starts, ends, np.repeat(words.doc, number), np.append(first, len(starts))[words.first], words.text_start, words.text_end)
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
