@@ -15,8 +15,8 @@ from .scratch import Scratch, restrict
 
 #: Labelled rows that the forest is grown from, at most: those with the smallest hashes of their ids.
 FOREST_ROWS = 8192
-#: Trees, and rows that each of them is grown from.
-TREES, TREE_ROWS = 100, 256
+#: Trees, rows that each of them is grown from, and its splits from the root, at most.
+TREES, TREE_ROWS, DEPTH = 100, 256, 16
 #: Least words of a document, and the largest percentage of its words that may lie in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Rejecting a share of the clean labelled rows weighs as much as keeping this many times that share of the poor ones.
@@ -29,19 +29,28 @@ def _base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
     return (s["n_words"] < LEAST_WORDS) | (100 * s["n_repeat_words"] > MOST_REPEATED * s["n_words"])
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """One label per document; where several differ the lowest counts."""
+    return labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+
+
 def fit_forest(docs: DataFrame, labels: DataFrame) -> IsolationForest | None:
-    """A forest over the statistics of at most FOREST_ROWS labelled documents; None where no document has a label."""
-    wanted = labels.where("quality is not null and doc_id is not null").select("doc_id").distinct()
-    wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FOREST_ROWS)
+    """A forest grown from the clean ones (all, if none is) of at most FOREST_ROWS labelled documents, over the box of all of
+    these; None where no document has a label."""
+    wanted = _known(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FOREST_ROWS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, "text"):
             s = statistics(column(step, "text"))
-            yield pa.RecordBatch.from_arrays([column(step, "doc_id"), pa.array(list(s["features"]), pa.list_(pa.float64()))], ["doc_id", "features"])
+            yield pa.RecordBatch.from_arrays([column(step, "doc_id"), pa.array(_base_failed(s)), pa.array(list(s["features"]), pa.list_(pa.float64()))], ["doc_id", "failed", "features"])
 
-    found = restrict(docs.select("doc_id", "text"), wanted, "doc_id").mapInArrow(rows, "doc_id long, features array<double>")
-    sample = found.orderBy("doc_id").limit(FOREST_ROWS).collect()
-    return IsolationForest(np.array([r.features for r in sample]), TREES, TREE_ROWS) if sample else None
+    found = restrict(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id").mapInArrow(rows, "doc_id long, failed boolean, features array<double>")
+    sample = found.join(F.broadcast(wanted), "doc_id").orderBy("doc_id", "features").limit(FOREST_ROWS).collect()  # FOREST_ROWS rows on either side
+    if not sample:
+        return None
+    features = np.array([r.features for r in sample])
+    clean = np.array([bool(r.quality) and not r.failed for r in sample])
+    return IsolationForest(features[clean] if clean.any() else features, features.min(axis=0), features.max(axis=0), TREES, TREE_ROWS, DEPTH)
 
 
 def measure(docs: DataFrame, forest: IsolationForest | None) -> DataFrame:
@@ -65,9 +74,8 @@ def calibrate(measured: DataFrame, labels: DataFrame) -> float:
 
     Only counts by score bin and label reach the driver. Infinite where the labels lack either kind.
     """
-    known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     scored = measured.where("not base_failed").select("doc_id", F.floor(F.col("anomaly") * _BINS).cast("int").alias("bin"))
-    counts = scored.join(known, "doc_id").groupBy("bin", "quality").count().collect()
+    counts = scored.join(_known(labels), "doc_id").groupBy("bin", "quality").count().collect()
     good, bad = np.zeros(_BINS + 2), np.zeros(_BINS + 2)
     for r in counts:
         (good if r.quality else bad)[r.bin] += r["count"]

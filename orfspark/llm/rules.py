@@ -93,36 +93,36 @@ def _usual_path(n: np.ndarray | float) -> np.ndarray:
 
 
 class IsolationForest:
-    """Random split trees over a bounded sample; a point's score is 2 ** (-mean path length / usual path length)."""
+    """Random split trees over a bounded sample; a point's score is 2 ** (-mean path length / usual path length).
 
-    def __init__(self, sample: np.ndarray, trees: int = 100, leaf_sample: int = 256, seed: int = 7):
+    Trees are grown from ``sample``, the usual rows, but cut the whole box from ``low`` to ``high``: so a statistic that is
+    constant among usual rows still isolates the rows that differ in it.
+    """
+
+    def __init__(self, sample: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = 100, tree_rows: int = 256, depth: int = 16, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.size = min(leaf_sample, len(sample))
-        self.depth = max(1, int(np.ceil(np.log2(max(self.size, 2)))))
-        self.trees = [self._grow(sample[rng.permutation(len(sample))[: self.size]], rng) for _ in range(trees)]
+        self.size, self.depth = min(tree_rows, len(sample)), depth
+        self.trees = [self._grow(sample[rng.permutation(len(sample))[: self.size]], low, high, rng) for _ in range(trees)]
 
-    def _grow(self, rows: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        feature, cut, left, path = [], [], [], []
+    def _grow(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        feature, cut, right, path = [], [], [], []
+        wide = np.flatnonzero(high > low)
 
-        def node(part: np.ndarray, depth: int) -> int:
+        def node(part: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> int:
             at = len(feature)
-            for column, value in ((feature, -1), (cut, 0.0), (left, 0), (path, 0.0)):
+            for column, value in ((feature, -1), (cut, 0.0), (right, 0), (path, depth + float(_usual_path(len(part))))):
                 column.append(value)
-            low, high = part.min(axis=0), part.max(axis=0)
-            wide = np.flatnonzero(high > low)
             if depth == self.depth or len(part) < 2 or not len(wide):
-                path[at] = depth + float(_usual_path(len(part)))
                 return at
             f = int(rng.choice(wide))
             feature[at], cut[at] = f, float(rng.uniform(low[f], high[f]))
-            below = part[:, f] < cut[at]
-            node(part[below], depth + 1) if below.any() else None
-            right = node(part[~below], depth + 1)
-            left[at] = right
+            below, middle = part[:, f] < cut[at], np.where(np.arange(len(low)) == f, cut[at], 0)
+            node(part[below], low, np.where(np.arange(len(low)) == f, middle, high), depth + 1)
+            right[at] = node(part[~below], np.where(np.arange(len(low)) == f, middle, low), high, depth + 1)
             return at
 
-        node(rows, 0)
-        return np.array(feature), np.array(cut), np.array(left), np.array(path)
+        node(rows, low, high, 0)
+        return np.array(feature), np.array(cut), np.array(right), np.array(path)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         if not self.size or not len(rows):
