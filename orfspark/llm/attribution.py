@@ -78,7 +78,8 @@ def attribute(docs: DataFrame, sections: DataFrame | None = None, rule: str = "m
     path = vocabulary or default_vocabulary()
     Scratch(docs.sparkSession, "attribution")
     docs = docs.select("doc_id", "text")
-    if sections is not None:
+    given = sections is not None
+    if given:
         spans = F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))))
         docs = docs.join(sections.where("end > start and start >= 0").groupBy("doc_id").agg(spans.alias("spans")), "doc_id", "left")
 
@@ -92,7 +93,7 @@ def attribute(docs: DataFrame, sections: DataFrame | None = None, rule: str = "m
             left, right = begin + encode.left[place], begin + encode.right[place]
             origin = before[words.text_start]
             token_doc = words.doc[word]
-            if sections is None:
+            if not given:
                 doc, first, last = _line_sections(words.buffer, before, words.text_start, words.text_end, line_chars)
                 own, cross = _allocate(left, right, first, last, rule)
             else:
