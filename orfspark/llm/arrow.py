@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one vectorised step takes; a longer text is a step of its own.
-STEP_BYTES = 1_000_000
+STEP_BYTES = 600_000
 
 
 def _release() -> None:

@@ -13,6 +13,8 @@ from ..session import ship
 
 #: Distinct 8-byte ids that a broadcast may hold; beyond it a join shuffles instead.
 BROADCAST_IDS = 4_000_000
+#: Rows of an Arrow batch, where the session has Spark's own setting: a batch of whole texts must stay small.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +35,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
+        if not spark.conf.get(BATCH_SETTING, None):
+            spark.conf.set(BATCH_SETTING, BATCH_ROWS)
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/orfspark/{name}-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.folder)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from .wordhash import Words, split_words, word_hashes
 
 #: Distinct words that a worker remembers; beyond it the memory starts anew.
-MOST_WORDS = 400_000
+MOST_WORDS = 350_000
 
 
 class WordEncoder:
