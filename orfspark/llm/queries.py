@@ -10,6 +10,7 @@ from .attribution import attribute
 from .hamming import nearest_codes
 from .mixing import mix
 from .near import near_duplicates
+from .oracles import HAMMING_SQL, NEAR_SQL, QUOTES_SQL, SUBSTRING_SQL
 from .packing import pack
 from .pages import extract
 from .quality import quality_rules
@@ -70,19 +71,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-#: Binary codes and brute force over all pairs of a query and a row; the other operators are beyond SQL.
-HAMMING_SQL = """
-WITH coded AS (
-  SELECT vec_id, list_aggregate(list_transform(range(64), lambda i: CASE WHEN coalesce(embedding[i + 1], 0) > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS code
-  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-), ranked AS (
-  SELECT q.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY hamming(q.code, d.code), d.vec_id) AS rank,
-         d.vec_id AS neighbor_id, hamming(q.code, d.code) AS distance
-  FROM coded q CROSS JOIN coded d WHERE q.vec_id % 50 = 0
-)
-SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, CAST(distance AS INTEGER) AS distance FROM ranked WHERE rank <= 10
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op3_hamming_top_k": HAMMING_SQL}
+    return {"op2_quotation_linking": QUOTES_SQL, "op3_hamming_top_k": HAMMING_SQL, "op5_minhash_near_dedup": NEAR_SQL, "op9_substring_dedup": SUBSTRING_SQL}
