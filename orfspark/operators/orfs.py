@@ -22,8 +22,8 @@ def spliced_transcripts(genome: DataFrame, exons: DataFrame) -> DataFrame:
     return cut.groupBy("tran_id").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("seq"))
 
 
-def codon_positions(transcripts: DataFrame, codons: Sequence[str]) -> DataFrame:
-    """(tran_id, size, pos, codon) of every occurrence, overlapping ones too; ``pos`` is 0-based, ``size`` the sequence's length.
+def _hits(transcripts: DataFrame, codons: Sequence[str]) -> DataFrame:
+    """(tran_id, size, tail, pos, codon) of every occurrence; ``size`` is the sequence's length, ``tail`` its last three bases.
 
     The sequence is split before each codon by one look-ahead expression, so only occurrences become rows, and positions are
     running sums of the pieces' lengths.
@@ -31,30 +31,33 @@ def codon_positions(transcripts: DataFrame, codons: Sequence[str]) -> DataFrame:
     if not codons or any(len(c) != 3 for c in codons):
         raise ValueError("codons have three letters")
     ahead = "(?=" + "|".join(re.escape(c) for c in dict.fromkeys(codons)) + ")"
-    pieces = transcripts.select("tran_id", F.length("seq").cast("long").alias("size"), F.posexplode(F.split("seq", ahead)).alias("k", "piece"))
-    before = Window.partitionBy("tran_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("long")
-    # a codon may run on into the next pieces, which begin within it
+    pieces = transcripts.select("tran_id", F.length("seq").cast("long").alias("size"), F.substring("seq", -3, 3).alias("tail"), F.posexplode(F.split("seq", ahead)).alias("k", "piece"))
+    # a codon may run on into the next two pieces, which begin within it
     window = Window.partitionBy("tran_id").orderBy("k")
+    at = F.coalesce(F.sum(F.length("piece")).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     text = F.concat("piece", F.coalesce(F.lead("piece", 1).over(window), F.lit("")), F.coalesce(F.lead("piece", 2).over(window), F.lit("")))
-    found = pieces.select("tran_id", "size", at.alias("pos"), F.substring(text, 1, 3).alias("codon"))
+    found = pieces.select("tran_id", "size", "tail", at.alias("pos"), F.substring(text, 1, 3).alias("codon"))
     return found.where(F.col("codon").isin(*codons))
 
 
+def codon_positions(transcripts: DataFrame, codons: Sequence[str]) -> DataFrame:
+    """(tran_id, pos, codon) of every occurrence, overlapping ones too; ``pos`` is 0-based."""
+    return _hits(transcripts, codons).select("tran_id", "pos", "codon")
+
+
 def find_orfs(transcripts: DataFrame, starts: Sequence[str] = STARTS, stops: Sequence[str] = STOPS, minlen: int = 0, maxlen: int = 1_000_000) -> DataFrame:
     """One row per start codon, nested ones too: tran_id, start, stop, length, startorf, stoporf.
 
     ``stop`` is the last base of the first stop codon further on in the frame; without one it is the sequence's length and
     ``stoporf`` its last three bases. ``length`` counts from the start codon's last base; both bounds are exclusive.
     """
-    hits = codon_positions(transcripts, [*starts, *stops])
     stop = F.when(F.col("codon").isin(*stops), F.struct(F.col("pos").alias("pos"), F.col("codon").alias("codon")))
     # from the 3' end on, the last stop seen is the nearest one downstream
     behind = Window.partitionBy("tran_id", F.col("pos") % 3).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    paired = hits.withColumn("next", F.last(stop, ignorenulls=True).over(behind)).where(F.col("codon").isin(*starts))
-    ends = transcripts.select("tran_id", F.substring("seq", -3, 3).alias("tail"))
-    closed = paired.select("tran_id", F.col("pos").alias("start"), F.col("codon").alias("startorf"), F.coalesce(F.col("next.pos") + 2, "size").alias("stop"), F.col("next.codon").alias("stoporf"))
-    orfs = closed.where("stoporf is not null").unionByName(closed.where("stoporf is null").join(ends, "tran_id").withColumn("stoporf", F.col("tail")).drop("tail"))
+    hits = _hits(transcripts, [*starts, *stops]).withColumn("next", F.last(stop, ignorenulls=True).over(behind))
+    orfs = hits.where(F.col("codon").isin(*starts)).select(
+        "tran_id", F.col("pos").alias("start"), F.coalesce(F.col("next.pos") + 2, "size").alias("stop"), F.col("codon").alias("startorf"), F.coalesce("next.codon", "tail").alias("stoporf")
+    )
     orfs = orfs.withColumn("length", F.col("stop") - (F.col("start") + 2))
     return orfs.where((F.col("length") > minlen) & (F.col("length") < maxlen)).select("tran_id", "start", "stop", "length", "startorf", "stoporf")
 
