@@ -31,7 +31,9 @@ def _hits(transcripts: DataFrame, codons: Sequence[str]) -> DataFrame:
     if not codons or any(len(c) != 3 for c in codons):
         raise ValueError("codons have three letters")
     ahead = "(?=" + "|".join(re.escape(c) for c in dict.fromkeys(codons)) + ")"
-    pieces = transcripts.select("tran_id", F.length("seq").cast("long").alias("size"), F.substring("seq", -3, 3).alias("tail"), F.posexplode(F.split("seq", ahead)).alias("k", "piece"))
+    # sequences are dealt out before they are split: the windows need no further exchange, and size and tail are computed once
+    whole = transcripts.select("tran_id", "seq", F.length("seq").cast("long").alias("size"), F.substring("seq", -3, 3).alias("tail")).repartition("tran_id")
+    pieces = whole.select("tran_id", "size", "tail", F.posexplode(F.split("seq", ahead)).alias("k", "piece"))
     # a codon may run on into the next two pieces, which begin within it
     window = Window.partitionBy("tran_id").orderBy("k")
     at = F.coalesce(F.sum(F.length("piece")).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
