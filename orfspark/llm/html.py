@@ -41,7 +41,7 @@ FURNITURE = frozenset(
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 #: What an open element of the key's kind closes when the next one begins, up to the nearest element that bounds it.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_BOUNDS = frozenset("ul ol dl table tbody thead tfoot tr select article section div main body html aside nav header footer form blockquote td th".split())
+_BOUNDS = frozenset("ul ol dl table tbody thead tfoot tr select article section div main body html aside nav header footer form blockquote td th button object".split())
 _KEEPS_P = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var br wbr label input".split())
 
 
@@ -89,22 +89,32 @@ def parse(text: str) -> Page:
     stack = [0]
     blocks: list[tuple[int, str]] = []
     run: list[str] = []
-    holder = 0
+    holder = -1  # element of the run's first text; -1 while the run is blank
+    held: tuple[int, list[str], int] | None = None  # place in the stack of furniture inside a line, and the line up to it
 
     def flush() -> None:
         nonlocal holder
-        if run:
-            block = " ".join(entities.unescape("".join(run)).split())
-            run.clear()
-            if block:
-                blocks.append((holder, block))
+        if holder >= 0:
+            blocks.append((holder, " ".join(entities.unescape("".join(run)).split())))
+        run.clear()
+        holder = -1
+
+    def leave(i: int) -> None:
+        """Close the open elements from the i-th; a line goes on after furniture in it."""
+        nonlocal holder, held
+        if held and held[0] >= i:
+            flush()
+            run.extend(held[1])
+            run.append(" ")
+            holder, held = held[2], None
+        del stack[i:]
 
     def close(names: tuple[str, ...], bounds: frozenset[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
             name = elements[stack[i]].name
             if name in names:
+                leave(i)
                 flush()
-                del stack[i:]
                 return
             if name in bounds:
                 return
@@ -114,7 +124,7 @@ def parse(text: str) -> Page:
         m = _TOKEN.search(text, at)
         piece = text[at : m.start() if m else len(text)]
         if piece:
-            if not run:
+            if holder < 0 and entities.unescape(piece).strip():
                 holder = stack[-1]
             run.append(piece)
         if not m:
@@ -133,9 +143,10 @@ def parse(text: str) -> Page:
             for i in range(len(stack) - 1, 0, -1):
                 own = elements[stack[i]].name
                 if own == name:
-                    if any(elements[e].name in BLOCKS for e in stack[i:]):
+                    ends = any(elements[e].name in BLOCKS for e in stack[i:])
+                    leave(i)
+                    if ends:
                         flush()
-                    del stack[i:]
                     break
                 if name not in BLOCKS and own in BLOCKS:
                     break
@@ -165,10 +176,11 @@ def parse(text: str) -> Page:
             continue
         if elements[-1].dropped and not above.dropped and name not in BLOCKS:
             # text before furniture inside a line stays one block with the text after it
-            run.append(" ")
-        if elements[-1].dropped != above.dropped:
-            flush()
+            held = len(stack), run.copy(), holder
+            run.clear()
+            holder = -1
         stack.append(len(elements) - 1)
+    leave(1)
     flush()
     return _measured(elements, blocks)
 

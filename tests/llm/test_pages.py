@@ -35,6 +35,22 @@ def test_main_text(html, text):
     assert main_text(parse(html)) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<p>Hello <span class="share">Share</span> world</p><p>x</p>', "Hello world\n\nx"),
+        ("<p>a <button>b<div>c</div></button> d<br>e", "a d e"),
+        ("<p>a <i hidden>b</p>c <label>d</label>e", "a\n\nc e"),
+        ('<p><span class="ad">b</span>c <math>d</math> e <b aria-hidden=true>f<p>g', "c e\n\ng"),
+        ("<nav>n</nav><table><tr><td>text</td><td class=ad>b</td><th>c</table>", "text c"),
+        ('<div class="ad">x</div><br>text', "text"),
+        ("<nav>n</nav>&nbsp;<div class=ad>x</div>&nbsp;<br/>text<div class=ad>y</div>", "text"),
+    ],
+)
+def test_text_beside_furniture_stays(html, text):
+    assert main_text(parse(html)) == text
+
+
 def test_long_and_deep_pages_end():
     assert main_text(parse("<div>" * 3000 + "x")) == "x"
     assert len(main_text(parse("<article>" + "<p>word &amp; more</p>" * 50_000))) == 50_000 * 11 + 2 * 49_999
