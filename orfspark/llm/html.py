@@ -224,28 +224,45 @@ def _inside(page: Page) -> list[bool]:
     return inside
 
 
-#: A subtree that holds more than this share of an article is never its template.
+#: A subtree counts towards a template only on pages where it holds at most this share of the article.
 _SHARE = 0.25
 
 
-def deletable(page: Page, i: int) -> bool:
-    """Whether recurrence may delete element i: not the article nor what holds it, no plain prose of it, and no large part."""
-    e, whole = page.elements[i], page.elements[page.main]
+def deletable(page: Page) -> list[bool]:
+    """Whether recurrence may delete each element: not the article nor what holds it, and no plain prose of it."""
+    around, at = set(), page.main
+    while at >= 0:
+        around.add(at)
+        at = page.elements[at].parent
     marked = page.main != 0
-    return i != page.main and e.name not in ("html", "body", "article", "main") and not (marked and e.name in PROSE) and e.chars <= _SHARE * whole.chars
+    return [i not in around and e.name not in ("html", "body", "article", "main") and not (marked and e.name in PROSE) for i, e in enumerate(page.elements)]
+
+
+def counted(page: Page) -> list[tuple[int, bool, int]]:
+    """Subtree hash, whether it is prose, and hash of the rest of the article, for subtrees that count towards a template.
+
+    A large part of an article does not count, as it may be a copied article with something small beside it.
+    """
+    may, most = deletable(page), _SHARE * page.elements[page.main].chars
+    return [(digest, page.elements[i].name in PROSE, rest) for i, digest, rest in subtrees(page) if may[i] and page.elements[i].chars <= most]
 
 
 def main_text(page: Page, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's blocks in page order, joined by two line feeds, without furniture and without recurring subtrees."""
-    gone = {i for i, digest, _ in subtrees(page) if digest in templates and deletable(page, i)} if templates else set()
+    """The article's blocks in page order, joined by two line feeds, without furniture and without recurring subtrees.
+
+    Where nothing is left without recurring subtrees, they stay.
+    """
+    may = deletable(page) if templates else []
+    gone = {i for i, digest, _ in subtrees(page) if digest in templates and may[i]} if templates else set()
     inside = _inside(page)
-    out = []
+    kept, out = [], []
     for e, text in page.blocks:
         if not inside[e] or page.elements[e].dropped:
             continue
+        kept.append(text)
         at = e
         while at >= 0 and at not in gone:
             at = page.elements[at].parent
         if at < 0:
             out.append(text)
-    return "\n\n".join(out)
+    return "\n\n".join(out or kept)

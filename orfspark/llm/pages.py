@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import column, steps
-from .html import deletable, main_text, parse, subtrees
+from .html import counted, main_text, parse
 from .scratch import Scratch
 
-#: A subtree is a template of its host where it stands beside so many different articles, and on this share of the host's pages.
+#: A subtree is a template of its host where it stands beside so many different articles, and beside this share of the host's.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: Beside so many different articles it is one whatever their share. Prose (a line, a list item) needs the share, as short ones recur by chance.
+MANY_PAGES = 100
 #: Templates that a broadcast may hold, 8 bytes and a host name each; beyond it each page gets its own by a join.
 BROADCAST_TEMPLATES = 200_000
 
@@ -23,22 +25,28 @@ def _host() -> F.Column:
 
 
 def candidates(pages: DataFrame) -> DataFrame:
-    """(host, page, subtree, rest) of each element that recurrence may delete; ``rest`` is a hash of the article without it."""
+    """(host, page, subtree, prose, rest) of each element that counts towards a template; ``rest`` is a hash of the article
+    without it. Each page has a row without a subtree too, whose rest is the whole article."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, "html"):
-            at, tree, rest = [], [], []
+            at, tree, prose, rest = [], [], [], []
             for i, text in enumerate(column(step, "html").to_pylist()):
                 page = parse(text or "")
-                for e, digest, other in subtrees(page):
-                    if deletable(page, e):
-                        at.append(i)
-                        tree.append(digest - (1 << 63))
-                        rest.append(other - (1 << 63))
+                at.append(i)
+                tree.append(None)
+                prose.append(None)
+                rest.append(page.elements[page.main].digest - (1 << 63))
+                for digest, plain, other in counted(page):
+                    at.append(i)
+                    tree.append(digest - (1 << 63))
+                    prose.append(plain)
+                    rest.append(other - (1 << 63))
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([column(step, "host").take(take), column(step, "page").take(take), pa.array(tree, pa.int64()), pa.array(rest, pa.int64())], ["host", "page", "subtree", "rest"])
+            arrays = [column(step, "host").take(take), column(step, "page").take(take), pa.array(tree, pa.int64()), pa.array(prose, pa.bool_()), pa.array(rest, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["host", "page", "subtree", "prose", "rest"])
 
-    return pages.select("host", "page", "html").mapInArrow(rows, "host string, page long, subtree long, rest long")
+    return pages.select("host", "page", "html").mapInArrow(rows, "host string, page long, subtree long, prose boolean, rest long")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -46,20 +54,23 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty page has an empty text. A page without an article or main element is judged by its body. Pages with a
     null url share the empty host. Copies of an article do not make its parts a template: a subtree counts once for each
-    different rest of the article, plain prose inside a marked article is never deleted for recurring, nor is a large part.
-    Repeated rows get equal rows. Extra columns are ignored; an empty table gives an empty result.
+    different rest of the article and is compared with the host's different articles, and plain prose inside a marked article
+    is never deleted for recurring. A large part of an article does not count, but goes where it is a template by other
+    pages, unless nothing else is left. Repeated rows get equal rows. Extra columns are ignored; an empty table gives an empty result.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "pages")
     pages = pages.select("page_id", "url", "html", _host().alias("host"), F.xxhash64("url", "html").alias("page"))
     found = scratch.save(candidates(pages), "found")
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = found.select("host", "subtree", "rest").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("times"))
-    templates = counts.where(F.col("times") >= LEAST_PAGES).join(sizes, "host").where(F.col("times") >= LEAST_SHARE * F.col("pages")).select("host", "subtree")
+    counts = found.select("host", "subtree", "prose", "rest").distinct().groupBy("host", "subtree", "prose").agg(F.count(F.lit(1)).alias("times"))
+    counts = scratch.save(counts.where((F.col("times") >= LEAST_PAGES) | F.col("subtree").isNull()), "counts")
+    sizes = counts.where("subtree is null").select("host", F.col("times").alias("articles"))
+    enough = (F.col("times") >= LEAST_SHARE * F.col("articles")) | (~F.col("prose") & (F.col("times") >= MANY_PAGES))
+    templates = counts.where("subtree is not null").join(sizes, "host").where(enough).select("host", "subtree")
     templates = scratch.save(templates, "templates")
     head = templates.limit(BROADCAST_TEMPLATES + 1).collect()
     if len(head) <= BROADCAST_TEMPLATES:
-        scratch.drop("found")
+        scratch.drop("found", "counts")
         by_host: dict[str, set[int]] = {}
         for r in head:
             by_host.setdefault(r.host, set()).add(r.subtree + (1 << 63))

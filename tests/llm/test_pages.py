@@ -85,6 +85,30 @@ def test_pages_without_a_marked_article(spark):
     assert all(t.startswith("Welcome") for t in _texts(spark, rows[:4]).values())
 
 
+def test_templates_of_hosts_with_copies_and_of_large_hosts(spark, monkeypatch):
+    story = lambda i: f"<p>Story {i} has words of its own number {i * i}</p>" * 6
+    # 90 copies of one article and 12 others: the box stands beside 13 articles of 13
+    rows = _site(102, lambda i: f"<article>{story(max(i, 89))}{BOX}</article>")
+    got = _texts(spark, rows)
+    assert len(got) == 102 and all("Follow" not in t and t.count("Story") == 6 for t in got.values())
+    # a box on a tenth of the pages of a host, and a line that recurs there by chance
+    monkeypatch.setattr(pages, "MANY_PAGES", 20)
+    box = lambda i: (BOX + "<p>Thank you.</p>") * (i % 10 == 0)
+    got = _texts(spark, _site(200, lambda i: f"<section>{story(i)}{box(i)}</section>"))
+    assert all("Follow" not in t and t.count("Story") == 6 and ("Thank" in t) == (i % 10 == 0) for i, t in got.items())
+
+
+def test_templates_of_short_pages(spark):
+    story = lambda i: f"<p>Story {i} has words of its own number {i * i}</p>" * 6
+    rows = _site(12, lambda i: f"<article>{BOX * (i != 11)}{story(i) if i < 10 else '<p>Short.</p>' if i == 10 else ''}</article>")
+    rows.append((12, "https://a.example/12", f"<article>{BOX}</article>"))
+    got = _texts(spark, rows)
+    assert got[10] == "Short." and got[12] == "Follow our channel" and all("Follow" not in got[i] for i in range(10))
+    # a copied story beside something small that differs is no template
+    copies = _site(12, lambda i: f"<div><p>{'Copied words. ' * 20}</p></div><div>Visitor {i}</div>", "b.example")
+    assert all(t.count("Copied") == 20 for t in _texts(spark, copies).values())
+
+
 def test_templates_beyond_the_broadcast_bound(spark, monkeypatch):
     rows = _site(12, lambda i: f"<article>{f'<p>Story {i} has words {i * i}</p>' * 3}{BOX}</article>")
     near = _texts(spark, rows)
