@@ -195,13 +195,44 @@ def _measured(elements: list[Element], blocks: list[tuple[int, str]]) -> Page:
             own.digest = (own.digest + digest) & 0xFFFFFFFFFFFFFFFF
             own.chars += len(text) if kept else 0
             e = own.parent
-    main = 0
-    for kind in ("article", "main"):
-        found = [i for i, e in enumerate(elements) if e.name == kind and not e.dropped and e.chars]
-        if found:
-            main = max(found, key=lambda i: (elements[i].chars, -i))
-            break
-    return Page(elements, blocks, main)
+    return Page(elements, blocks, _main(elements))
+
+
+#: An article stands for its main element or page where it holds more than this share of its kept text.
+_MOST = 0.75
+
+
+def _main(elements: list[Element]) -> int:
+    """The element that holds the story: an article with most of the text around it, else a main element, else what holds all articles.
+
+    The text around an article is that of the main element if it is inside it, else that of the page. A page with one article
+    and no main element has its story there, whatever else it has.
+    """
+    of = lambda kind: [i for i, e in enumerate(elements) if e.name == kind and not e.dropped and e.chars]
+    articles, mains = of("article"), of("main")
+    size = lambda i: (elements[i].chars, -i)
+    main = max(mains, key=size, default=0)
+    if not articles:
+        return main
+    for around in (main, 0):
+        within = [i for i in articles if not around or _has(elements, around, i)]
+        best = max(within, key=size, default=0)
+        if best and elements[best].chars > _MOST * elements[around].chars:
+            return best
+    if main:
+        return main
+    common = articles[0]
+    for i in articles[1:]:
+        while not _has(elements, common, i):
+            common = elements[common].parent
+    return common
+
+
+def _has(elements: list[Element], i: int, inner: int) -> bool:
+    """Whether element ``inner`` is element i or in it; elements are numbered as they start."""
+    while inner > i:
+        inner = elements[inner].parent
+    return inner == i
 
 
 def subtrees(page: Page) -> list[tuple[int, int, int]]:
@@ -234,8 +265,11 @@ def deletable(page: Page) -> list[bool]:
     while at >= 0:
         around.add(at)
         at = page.elements[at].parent
-    marked = page.main != 0
-    return [i not in around and e.name not in ("html", "body", "article", "main") and not (marked and e.name in PROSE) for i, e in enumerate(page.elements)]
+    # parents come before their children
+    whole, marked = page.elements[page.main].name in ("article", "main"), [False] * len(page.elements)
+    for i, e in enumerate(page.elements):
+        marked[i] = whole or e.name in ("article", "main") or (e.parent >= 0 and marked[e.parent])
+    return [i not in around and e.name not in ("html", "body", "article", "main") and not (marked[i] and e.name in PROSE) for i, e in enumerate(page.elements)]
 
 
 def counted(page: Page) -> list[tuple[int, bool, int]]:

@@ -52,7 +52,9 @@ def candidates(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
-    A null or empty page has an empty text. A page without an article or main element is judged by its body. Pages with a
+    A null or empty page has an empty text. The text is that of an article with over three quarters of the text
+    of its main element or page; else of the main element; else of the innermost element that holds all articles, in page
+    order. A page without an article or main element is judged by its body. Pages with a
     null url share the empty host. Copies of an article do not make its parts a template: a subtree counts once for each
     different rest of the article and is compared with the host's different articles, and plain prose inside a marked article
     is never deleted for recurring. A large part of an article does not count, but goes where it is a template by other

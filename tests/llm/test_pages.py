@@ -51,6 +51,22 @@ def test_text_beside_furniture_stays(html, text):
     assert main_text(parse(html)) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p>site</p><div><article><p>Part one.</article><article><p>Part two.</article><p>between</p><article><p>Part 3.</article></div>", "Part one.\n\nPart two.\n\nbetween\n\nPart 3."),
+        ("<main><h1>Title</h1><p>The whole story.</p></main><div><article>teaser a</article><article>teaser b</article></div>", "Title\n\nThe whole story."),
+        ("<main><p>The whole story.</p><article>a teaser</article></main><article>elsewhere</article>", "The whole story.\n\na teaser"),
+        ("<main><article><p>The whole long story.</p></article><p>tail</p></main><p>x</p>", "The whole long story."),
+        ("<main>m</main><article><p>The whole long story.</p></article>", "The whole long story."),
+        ("<article>Story and its comments. <article>first</article><article>second</article></article>", "Story and its comments.\n\nfirst\n\nsecond"),
+        ("<article>ab</article><body><article>cd</article>", "ab\n\ncd"),
+    ],
+)
+def test_article_and_main(html, text):
+    assert main_text(parse(html)) == text
+
+
 def test_long_and_deep_pages_end():
     assert main_text(parse("<div>" * 3000 + "x")) == "x"
     assert len(main_text(parse("<article>" + "<p>word &amp; more</p>" * 50_000))) == 50_000 * 11 + 2 * 49_999
@@ -109,6 +125,12 @@ def test_templates_of_short_pages(spark):
     assert all(t.count("Copied") == 20 for t in _texts(spark, copies).values())
 
 
+def test_templates_beside_sibling_articles(spark):
+    part = lambda i, k: f"<article><p>Part {k} of {i} has words of its own</p><p>The same line.</p></article>"
+    got = _texts(spark, _site(12, lambda i: f"<div>{part(i, 1)}{part(i, 2)}{part(i, 3)}{BOX}<p>Read on</p></div>"))
+    assert all(t.count("Part") == t.count("The same line.") == 3 and "Follow" not in t and "Read on" not in t for t in got.values())
+
+
 def test_templates_beyond_the_broadcast_bound(spark, monkeypatch):
     rows = _site(12, lambda i: f"<article>{f'<p>Story {i} has words {i * i}</p>' * 3}{BOX}</article>")
     near = _texts(spark, rows)
