@@ -68,3 +68,24 @@ def test_encoder_equals_whole_text_encoding(monkeypatch):
             assert ids[a:b].tolist() == expected.ids
             at = heads[words.start[piece[a:b]]] - heads[words.text_start[i]]
             assert list(zip((at + own.left[place[a:b]]).tolist(), (at + own.right[place[a:b]]).tolist(), strict=True)) == expected.offsets
+
+
+def test_added_tokens_are_those_of_the_vocabulary_file(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokens.default_vocabulary()
+    whole = Tokenizer.from_file(path)  # as it is
+    monkeypatch.setattr(tokens, "MOST_WORDS", 300)
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    own, rng = tokens.encoder(path), random.Random(2)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<|", " ", "\n", "don't", "A.B.", "x!!", "é,", "×", "中", "'", "'s", "12", "end", "…"]
+    for _ in range(300):
+        texts = [None if rng.random() < 0.05 else "".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(5)] + ["a<|endo", "ftext|>b<|endoftext|>", "<|endoftext|>"]
+        ids, offsets, words, piece, place = own(pa.array(texts, pa.string()))
+        heads = np.concatenate([[0], np.cumsum((words.buffer & 0xC0) != 0x80)])
+        for i, t in enumerate(texts):
+            a, b = offsets[i], offsets[i + 1]
+            expected = whole.encode(t or "", add_special_tokens=False)
+            assert ids[a:b].tolist() == expected.ids
+            at = heads[words.start[piece[a:b]]] - heads[words.text_start[i]]
+            assert list(zip((at + own.left[place[a:b]]).tolist(), (at + own.right[place[a:b]]).tolist(), strict=True)) == expected.offsets
