@@ -22,6 +22,44 @@ def spliced_transcripts(genome: DataFrame, exons: DataFrame) -> DataFrame:
     return cut.groupBy("tran_id").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("seq"))
 
 
+#: Positions of a tile, the part of a chunk that an exon is cut from.
+TILE = 4096
+
+
+def chunk_offsets(chunks: DataFrame, cell: int = 4096) -> DataFrame:
+    """``chunks(chr, id, seq)`` with ``offset``, the length of what comes before it in its contig by id (then by sequence).
+
+    Lengths are summed by cells of ``cell`` ids, then over the cells before, so no task has all chunks of a contig.
+    """
+    sized = chunks.withColumn("seq", F.coalesce("seq", F.lit(""))).withColumn("size", F.length("seq").cast("long")).withColumn("cell", F.floor(F.col("id") / cell))
+    upto = lambda order, *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = sized.groupBy("chr", "cell").agg(F.sum("size").alias("total"))
+    cells = cells.select("chr", "cell", (F.sum("total").over(upto(["cell"], "chr")) - F.col("total")).alias("before"))
+    placed = sized.withColumn("inner", F.sum("size").over(upto(["id", "seq"], "chr", "cell")) - F.col("size"))
+    return placed.join(cells, ["chr", "cell"]).select("chr", (F.col("before") + F.col("inner")).alias("offset"), "seq")
+
+
+def spliced_from_chunks(chunks: DataFrame, exons: DataFrame, tile: int = TILE) -> DataFrame:
+    """``spliced_transcripts`` of contigs in ``chunks(chr, offset, seq)``: each exon is cut from the tiles that it overlaps."""
+    last = exons.groupBy("chr").agg(F.max("stop").alias("last"))
+    size, end = F.length("seq").cast("long"), F.col("offset") + F.length("seq")
+    bins = F.sequence(F.floor(F.col("offset") / tile), F.floor((end - 1) / tile))
+    at, stop = lambda b: F.greatest(b * tile, F.col("offset")), lambda b: F.least((b + 1) * tile, end)
+    cut = lambda b: F.struct(b.alias("bin"), at(b).alias("at"), F.substring(F.col("seq"), (at(b) - F.col("offset") + 1).cast("int"), (stop(b) - at(b)).cast("int")).alias("text"))
+    tiles = chunks.join(last, "chr").where((size > 0) & (F.col("offset") < F.col("last"))).select("chr", F.explode(F.transform(bins, cut)).alias("tile")).select("chr", "tile.*")
+    # a contig without what an exon asks for gives it an empty piece
+    known = exons.join(chunks.select("chr").distinct(), "chr", "left_semi").withColumn("first", F.col("start") - 1)
+    asked = known.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / tile), F.floor(F.greatest(F.col("stop") - 1, F.col("first")) / tile))))
+    wanted = asked.select("chr", "bin").distinct()
+    tiles = tiles.join(wanted, ["chr", "bin"], "left_semi")
+    low, high = F.greatest("first", "at"), F.least("stop", F.col("at") + F.length("text"))
+    piece = F.when(high > low, F.substring(F.col("text"), (low - F.col("at") + 1).cast("int"), (high - low).cast("int"))).otherwise("")
+    pieces = asked.join(tiles, ["chr", "bin"], "left").withColumn("piece", F.coalesce(F.when(F.col("strand") == "-", reverse_complement(piece)).otherwise(piece), F.lit("")))
+    order = F.when(F.col("strand") == "-", -F.col("at")).otherwise(F.col("at")).alias("order")
+    parts = F.array_sort(F.collect_list(F.struct("exon_idx", order, "piece")))
+    return pieces.groupBy("tran_id").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("seq"))
+
+
 def _hits(transcripts: DataFrame, codons: Sequence[str]) -> DataFrame:
     """(tran_id, size, tail, pos, codon) of every occurrence; ``size`` is the sequence's length, ``tail`` its last three bases.
 

@@ -239,12 +239,11 @@ cut AS (
 def spliced_sequence(spark: SparkSession, d: str) -> DataFrame:
     """Contigs are the sequences of each source put together; each transcript's locus lies near its contig's start."""
     tr = table(spark, d, "tr").withColumn("chr", F.concat(F.lit("g"), "source"))
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", "seq")))
-    genome = tr.groupBy("chr").agg(F.array_join(F.transform(parts, lambda p: p["seq"]), "").alias("seq"))
+    chunks = orfs.chunk_offsets(tr.select("chr", F.col("doc_id").alias("id"), "seq"))
     loci = tr.select("doc_id", "chr", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand")).select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
     start = (1 + F.col("doc_id") % 7 + F.col("k") * 11).cast("long")
     exons = loci.select("chr", F.concat(F.lit("S"), "doc_id", "strand").alias("tran_id"), "strand", F.lit("exon").alias("type"), start.alias("start"), (start + 8).alias("stop"))
-    return orfs.spliced_transcripts(genome, annotation.exon_coords(exons))
+    return orfs.spliced_from_chunks(chunks, annotation.exon_coords(exons))
 
 
 # ---------------------------------------------------------------- annotation

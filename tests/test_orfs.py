@@ -73,3 +73,26 @@ def test_spliced_transcripts(spark):
     rows = [("1", "P", "+", 0, 1, 3, 0, 2), ("1", "P", "+", 1, 8, 10, 3, 5), ("1", "M", "-", 0, 8, 10, 0, 2), ("1", "M", "-", 1, 1, 3, 3, 5)]
     exons = spark.createDataFrame(rows, "chr string, tran_id string, strand string, exon_idx int, start long, stop long, tran_start long, tran_stop long")
     assert {r.tran_id: r.seq for r in of.spliced_transcripts(genome, exons).collect()} == {"P": "ACGGCA", "M": "TGCCGT"}
+
+
+def test_spliced_from_chunks_equals_whole_contigs(spark):
+    rng = random.Random(4)
+    rows = [(c, k, "".join(rng.choices("ACGTNacgt", k=rng.choice([0, 1, 3, 20, 90])))) for c in ("a", "b") for k in range(40)] + [("a", 3, None), ("a", 90, "TT"), ("a", 90, "GG")]
+    chunks = of.chunk_offsets(spark.createDataFrame(rows, "chr string, id long, seq string"), cell=8)
+    whole = {c: "".join(x[2] or "" for x in sorted(rows, key=lambda x: (x[1], x[2] or "")) if x[0] == c) for c in ("a", "b")}
+    exons = [(rng.choice("abc"), f"t{t}", s, k, k * 300 + rng.randint(1, 90), 0) for t in range(30) for s in ["+-"[t % 2]] for k in range(4)]
+    exons = [(c, t, s, 3 - k if s == "-" else k, a, a + rng.choice([0, 8, 30, 150])) for c, t, s, k, a, _ in exons] + [("b", "far", "+", 0, 10**6, 10**6 + 8)]
+    exons = spark.createDataFrame(exons, "chr string, tran_id string, strand string, exon_idx int, start long, stop long")
+    expected = {tuple(r) for r in of.spliced_transcripts(spark.createDataFrame(list(whole.items()), "chr string, seq string"), exons).collect()}
+    got = {tuple(r) for r in of.spliced_from_chunks(chunks, exons, tile=16).collect()}
+    assert got == expected and ("far", "") in got and len(got) > 15
+
+
+def test_no_contig_becomes_one_string(spark, monkeypatch):
+    from orfspark import queries
+
+    tr = spark.createDataFrame([(k, "s", "ACGTACGTTT" * 5) for k in range(200)], "doc_id long, source string, seq string")
+    monkeypatch.setattr(queries, "table", lambda *_: tr)
+    plan = queries.spliced_sequence(spark, "")._jdf.queryExecution().optimizedPlan().toString()
+    # the one list that is collected is that of a transcript's exons
+    assert plan.count("collect_list") == 1 and len(queries.spliced_sequence(spark, "").collect()) == 400
