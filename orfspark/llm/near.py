@@ -336,11 +336,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, that of its smallest id, and the rows with a null id; all columns as they were.
 
-    Of rows that repeat an id one stays.
+    Where ids repeat, each row is a document, so different texts of an id are all compared. A component's row is then that
+    of the smallest id whose smallest text it has, as in ``near_duplicates``, else of the smallest id.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    gone = scratch.save(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    out, repeated = without(docs, gone, "doc_id"), repeated_ids(docs)
-    if repeated is not None:
-        out = without(out, repeated, "doc_id").unionByName(restrict(out, repeated, "doc_id").dropDuplicates(["doc_id"]))
-    return out
+    repeated = repeated_ids(docs)
+    if repeated is None:
+        gone = scratch.save(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+        return without(docs, gone, "doc_id")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = scratch.save(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", row), "keyed")
+    least = restrict(keyed, repeated, "doc_id").groupBy("doc_id").agg(F.min("text").alias("least"), F.lit(True).alias("repeats"))
+    found = near_duplicates(keyed.where("doc_id is not null").select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
+    other = F.col("repeats").isNotNull() & ~F.col("text").eqNullSafe(F.col("least"))
+    placed = keyed.select("key", "doc_id", "text").join(found, "key").join(least, "doc_id", "left").select("key", "component_id", F.struct(other.alias("other"), "doc_id", "key").alias("place"))
+    kept = scratch.save(placed.groupBy("component_id").agg(F.min("place").alias("place")).select("place.key"), "kept")
+    return restrict(keyed, kept, "key").select("row").union(keyed.where("doc_id is null").select("row")).select("row.*")

@@ -66,6 +66,14 @@ def test_repeated_and_null_ids(spark):
     assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4]
 
 
+def test_stage_keeps_the_different_texts_of_an_id(spark):
+    rows = [(1, "a b c d e f g h"), (1, "q r s t u v w x"), (1, "q r s t u v w x"), (2, "k l m n o p i j"), (2, "z y x w v u t s"), (3, "z y x w v u t s"), (None, "k l m n o p i j")]
+    df = brute.clashing(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], brute.DOCS))
+    kept = near.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "k l m n o p i j"), (1, "a b c d e f g h"), (1, "q r s t u v w x"), (2, "k l m n o p i j"), (3, "z y x w v u t s")]
+
+
 def test_empty_table(spark):
     assert near.near_duplicates(brute.docs(spark, {})).collect() == []
     assert near.keep_one(brute.docs(spark, {})).collect() == []
