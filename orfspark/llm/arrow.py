@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,19 +13,32 @@ import pyarrow.compute as pc
 STEP_BYTES = 600_000
 
 
-def _release() -> None:
-    """Give freed memory back, so that a worker between tasks holds little."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+#: Fixed values of glibc's mallopt: the options for the sizes from which memory is mapped by itself and kept at the heap's end.
+_MMAP_THRESHOLD, _TRIM_THRESHOLD = -3, -1
+_MAPPED = 256 << 10
+
+
+@cache
+def _lean() -> Callable[[], object]:
+    """Have large arrays of this worker mapped by themselves, so they go back when freed; the call that gives back the rest."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        c = ctypes.CDLL(None)
+        c.mallopt(_MMAP_THRESHOLD, _MAPPED)
+        c.mallopt(_TRIM_THRESHOLD, _MAPPED)
+        trim = c.malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda: None
+    return lambda: trim(0)
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each one's ``text`` column holds about ``limit`` bytes; at least one row each, in order."""
+    release = _lean()
     try:
         yield from _steps(batches, text, limit)
     finally:
-        _release()
+        release()
 
 
 def _steps(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,12 @@ def _base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
     return (s["n_words"] < LEAST_WORDS) | (100 * s["n_repeat_words"] > MOST_REPEATED * s["n_words"])
 
 
+def _judged(texts: pa.Array, forest: IsolationForest | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Statistics, whether the base rules fail, and the anomaly score (0 without a forest) of each text."""
+    s = statistics(texts)
+    return s, _base_failed(s), forest.score(s["features"]) if forest else np.zeros(len(texts))
+
+
 def _known(labels: DataFrame) -> DataFrame:
     """One label per document; where several differ the lowest counts."""
     return labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -59,11 +65,9 @@ def measure(docs: DataFrame, forest: IsolationForest | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # TREES trees of at most 2 * TREE_ROWS nodes
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for step in steps(batches, "text"):
-            s = statistics(column(step, "text"))
-            score = own.score(s["features"]) if own else np.zeros(len(step))
-            arrays = [column(step, "doc_id"), *(pa.array(s[c]) for c in _COUNTS), pa.array(_base_failed(s)), pa.array(score)]
+            s, failed, score = _judged(column(step, "text"), shared.value)
+            arrays = [column(step, "doc_id"), *(pa.array(s[c]) for c in _COUNTS), pa.array(failed), pa.array(score)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *_COUNTS, "base_failed", "anomaly"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, schema)
@@ -101,18 +105,21 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that ``quality_rules`` keeps, all columns as they were. Texts are not shuffled: each is judged where it is read."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    forest = fit_forest(docs, labels)
-    threshold = calibrate(scratch.save(measure(docs, forest).select("doc_id", "base_failed", "anomaly"), "measured"), labels)
-    scratch.drop("measured")
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for step in steps(batches, "text"):
-            s = statistics(column(step, "text"))
-            score = own.score(s["features"]) if own else np.zeros(len(step))
-            yield step.filter(pa.array(~_base_failed(s) & (score < threshold)))
+    """Rows of ``docs`` that ``quality_rules`` keeps, all columns as they were, extra ones too.
 
-    return docs.mapInArrow(rows, docs.schema)
+    Nulls, empty and long texts, ties, repeated rows and missing labels are judged as there; an empty table stays empty. Each text
+    is read by Python once, where it lies: rows are written with their scores, and the threshold then picks among them.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    shared = docs.sparkSession.sparkContext.broadcast(fit_forest(docs, labels))
+
+    @F.arrow_udf("struct<base_failed: boolean, anomaly: double>")
+    def judge(texts: pa.Array) -> pa.Array:
+        parts = [_judged(column(step, "text"), shared.value) for step in steps(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text")]
+        failed, score = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (1, 2))
+        return pa.StructArray.from_arrays([pa.array(failed, pa.bool_()), pa.array(score, pa.float64())], ["base_failed", "anomaly"])
+
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    judged = scratch.save(docs.select(row, judge("text").alias("found")), "judged")
+    threshold = calibrate(judged.select("row.doc_id", "found.base_failed", "found.anomaly"), labels)
+    return judged.where(~F.col("found.base_failed") & (F.col("found.anomaly") < F.lit(threshold))).select("row.*")

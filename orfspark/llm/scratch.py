@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Distinct 8-byte ids that a broadcast may hold; beyond it a join shuffles instead.
-BROADCAST_IDS = 4_000_000
-#: Rows of an Arrow batch, where the session has Spark's own setting: a batch of whole texts must stay small.
-BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: Distinct 8-byte ids that a broadcast may hold, about 10 MB in memory; beyond it a join shuffles instead.
+BROADCAST_IDS = 250_000
+#: Rows and bytes of an Arrow batch, where the session has Spark's own settings: a batch of whole texts must stay small.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder that is then set as such."""
+    """``spark.checkpoint.dir`` of the session; where it is unset and Spark runs on this machine alone, a temporary folder that
+    is then set as such. On a cluster executors would write to their own disks, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="orfspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -35,8 +39,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
-        if not spark.conf.get(BATCH_SETTING, None):
-            spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+        for setting, value in BATCHES.items():
+            if not spark.conf.get(setting, None):
+                spark.conf.set(setting, value)
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/orfspark/{name}-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.folder)
@@ -58,15 +63,17 @@ class Scratch:
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _hinted(ids: DataFrame, on: str, bound: int) -> DataFrame:
+    """``ids`` under the name ``on``, ready to be broadcast where a count has shown at most ``bound`` of them."""
+    ids = ids.select(F.col(ids.columns[0]).alias(on))
+    return F.broadcast(ids) if ids.count() <= bound else ids
+
+
 def restrict(df: DataFrame, ids: DataFrame, on: str, bound: int = BROADCAST_IDS) -> DataFrame:
     """Rows of ``df`` whose ``on`` is in ``ids`` (one column, distinct): by a broadcast of up to ``bound`` ids, else by a shuffle."""
-    ids = ids.select(F.col(ids.columns[0]).alias(on))
-    small = ids.limit(bound + 1).count() <= bound
-    return df.join(F.broadcast(ids) if small else ids, on, "left_semi")
+    return df.join(_hinted(ids, on, bound), on, "left_semi")
 
 
 def without(df: DataFrame, ids: DataFrame, on: str, bound: int = BROADCAST_IDS) -> DataFrame:
     """Rows of ``df`` whose ``on`` is not in ``ids``; see ``restrict``."""
-    ids = ids.select(F.col(ids.columns[0]).alias(on))
-    small = ids.limit(bound + 1).count() <= bound
-    return df.join(F.broadcast(ids) if small else ids, on, "left_anti")
+    return df.join(_hinted(ids, on, bound), on, "left_anti")
