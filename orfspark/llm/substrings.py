@@ -7,26 +7,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import column, steps
-from .scratch import Scratch, restrict, without
+from .scratch import BROADCAST_IDS, Scratch, restrict, without
 from .spans import SuffixAutomaton
-from .wordhash import mix64, run_hashes, split_words, windows, word_hashes
+from .wordhash import Words, joined, split_words, windows, word_hashes
 
 #: Words of a window; a window that recurs anywhere is removed.
 WINDOW = 35
 #: Words of an anchor: each window's anchor is its run of so many words with the least hash. Equal windows have equal anchors.
 ANCHOR = 8
-#: Distinct ranges of an anchor that one automaton takes; beyond it windows are counted instead, as one key would fill a task.
+#: Distinct ranges of an anchor that one automaton takes. Beyond it an anchor's windows become anchors of their own and are dealt
+#: out by their 128-bit hashes, as one key would fill a task; a shard of equal windows is its own automaton, so counting answers it.
 MOST_RANGES = 256
 #: Words of the reference shard that an automaton is built over, about.
 SHARD_WORDS = 20_000
 
 
 def _anchors(texts: pa.Array, size: int) -> tuple[np.ndarray, ...]:
-    """Per run of windows of one text with the same anchor: text, anchor hash, range hash, first word in text, windows."""
+    """Per run of windows of one text with the same anchor: text, anchor hash, digest of the range's words, first word in text, windows."""
     words = split_words(texts)
     h = word_hashes(words)
     g = windows(h, ANCHOR, 1)
@@ -50,14 +52,17 @@ def _anchors(texts: pa.Array, size: int) -> tuple[np.ndarray, ...]:
     s = np.flatnonzero(new)
     count = np.diff(np.append(s, len(ok)))
     first = ok[s]
-    stop = first + count + size - 1
-    with np.errstate(over="ignore"):
-        whole = mix64(run_hashes(h, first, stop) + count.astype(np.uint64), 77)
-    return doc[s], g[at[s]].view(np.int64), whole.view(np.int64), first - words.first[doc[s]], count
+    flat, begin = joined(words)
+    data, a, b = flat.tobytes(), begin[first].tolist(), (begin[first + count + size - 1] - 1).tolist()
+    whole = b"".join([hashlib.blake2b(data[x:y], digest_size=8).digest() for x, y in zip(a, b, strict=True)])
+    return doc[s], g[at[s]].view(np.int64), np.frombuffer(whole, "<i8"), first - words.first[doc[s]], count
 
 
 def ranges(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """key, anchor, range (hashes), first (word number) and n (windows) of each range; every window is in one range."""
+    """key, anchor (a hash), range (a cryptographic digest of its words), first (word number) and n (windows) of each range.
+
+    Every window is in one range. Two ranges count as equal where anchor and digest are.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, "text"):
@@ -129,11 +134,11 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
 
 
 def recurring(docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
-    """key, first, n, mask: the ranges with a window that also starts elsewhere; bit i of mask stands for window first + i."""
-    counted = ranges(docs, size).groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
-    twice = scratch.save(counted, "anchors")
-    found = scratch.save(restrict(ranges(docs, size), twice, "anchor"), "found")
-    scratch.drop("anchors")
+    """key, first, mask: the ranges with a window that also starts elsewhere; bit i of mask stands for window first + i."""
+    every = scratch.save(ranges(docs, size), "ranges")
+    twice = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    found = scratch.save(every.join(twice, "anchor", "left_semi"), "found")
+    scratch.drop("ranges")
     one = F.min(F.struct("key", "first", "n")).alias("one")
     distinct = scratch.save(found.groupBy("anchor", "range").agg(F.count(F.lit(1)).alias("times"), one), "distinct")
     many = scratch.save(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("ranges")).where("ranges > 1"), "many")
@@ -154,24 +159,32 @@ def recurring(docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     scratch.drop("cut", "each", "many")
     whole = distinct.where("times > 1").select("anchor", "range", F.expr("shiftleft(1L, one.n) - 1").alias("mask"))
     masks = whole.union(masks.join(distinct.where("times > 1"), ["anchor", "range"], "left_anti"))
-    return found.join(masks, ["anchor", "range"]).select("key", "first", "n", "mask")
+    return found.join(masks, ["anchor", "range"]).select("key", "first", "mask")
 
 
-def _cover(masks: list[dict] | None, n_words: int, size: int) -> np.ndarray:
-    edge = np.zeros(n_words + size + 1, np.int32)
-    for r in masks or []:
-        mask = r["mask"]
-        at = r["first"] + np.flatnonzero([(mask >> i) & 1 for i in range(r["n"])])
-        edge[at] += 1
-        edge[at + size] -= 1
-    return edge[:-1].cumsum()[:n_words] > 0
+def _covered(words: Words, masks: pa.Array, size: int) -> np.ndarray:
+    """Which words are in a window that a text's ``masks`` (arrays of first, n, mask; null for none) name."""
+    edge = np.zeros(len(words.start) + 1, np.int64)
+    own = masks.flatten()
+    if len(own):
+        first, mask = (pc.struct_field(own, f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("first", "mask"))
+        counts = pc.fill_null(pc.list_value_length(masks), 0).to_numpy(zero_copy_only=False)
+        begin = np.repeat(words.first[:-1], counts) + first
+        row, i = np.nonzero((mask[:, None] >> np.arange(size - ANCHOR + 1)) & 1)
+        at = begin[row] + i
+        edge += np.bincount(at, minlength=len(edge)) - np.bincount(at + size, minlength=len(edge))
+    return edge.cumsum()[:-1] > 0
 
 
 def _repeated(docs: DataFrame, size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Keyed rows with a recurring window, with the array of their ranges as ``masks``; and the other rows."""
     found = recurring(docs, size, scratch)
-    by_doc = scratch.save(found.groupBy("key").agg(F.collect_list(F.struct("first", "n", "mask")).alias("masks")), "by_doc")
+    by_doc = scratch.save(found.groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("masks")), "by_doc")
     scratch.drop("found", "distinct", "masks")
+    if by_doc.count() > BROADCAST_IDS:
+        # one exchange of the rows serves both
+        placed = scratch.save(docs.join(by_doc, "key", "left"), "placed")
+        return placed.where("masks is not null"), placed.where("masks is null").drop("masks")
     ids = by_doc.select("key")
     return restrict(docs, ids, "key").join(by_doc, "key"), without(docs, ids, "key")
 
@@ -190,24 +203,22 @@ def removed_spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     A null or empty text has no words and keeps the empty string. Windows are judged on the input; one that recurs in its
     own text counts, and so does one of an exact copy, of which no copy keeps it. Rows that repeat an id and rows with a
-    null id are rows like others. Extra columns are ignored; an empty table gives an empty result.
+    null id are rows like others. A text of any length is judged whole. Extra columns are ignored; an empty table gives an empty
+    result.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     some, rest = _repeated(keyed(docs.select("doc_id", "text"), scratch), size, scratch)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, "text"):
-            counts, gone, kept = [], [], []
-            masks = column(step, "masks").to_pylist() if "masks" in step.schema.names else [None] * len(step)
-            for t, own_masks in zip(column(step, "text").to_pylist(), masks, strict=True):
-                own = (t or "").encode().split()
-                counts.append(len(own))
-                if own_masks:
-                    out = _cover(own_masks, len(own), size)
-                    own = [w for w, x in zip(own, out, strict=True) if not x]
-                gone.append(counts[-1] - len(own))
-                kept.append(hashlib.sha256(b" ".join(own)).hexdigest())
-            yield pa.RecordBatch.from_arrays([column(step, "doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            words = split_words(column(step, "text"))
+            keep = ~_covered(words, column(step, "masks"), size) if "masks" in step.schema.names else np.ones(len(words.start), bool)
+            flat, begin = joined(words, keep)
+            upto = np.concatenate([[0], np.cumsum(keep)])[words.first]
+            data, a, b = flat.tobytes(), begin[upto[:-1]].tolist(), begin[upto[1:]].tolist()
+            kept = [hashlib.sha256(data[x : max(x, y - 1)]).hexdigest() for x, y in zip(a, b, strict=True)]
+            counts = words.count()
+            yield pa.RecordBatch.from_arrays([column(step, "doc_id"), pa.array(counts, pa.int64()), pa.array(counts - np.diff(upto), pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     some, rest = some.select(F.col("row.doc_id").alias("doc_id"), "text", "masks"), rest.select(F.col("row.doc_id").alias("doc_id"), "text")
@@ -217,7 +228,9 @@ def removed_spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 def cut_spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """Rows of ``docs`` without the words of recurring windows; all columns, with ``n_chars`` (if there is one) of the new text.
 
-    Each removed word goes with the white space after it, so what is left keeps its lines. Other texts stay as they were.
+    Each removed word goes with the white space after it, so what is left keeps its lines. Other texts stay as they were: null
+    and empty ones, and those without a recurring window. Rows that repeat an id or have none are rows like others; extra columns
+    pass through, whatever their names; a text of any length is judged whole; an empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     some, rest = _repeated(keyed(docs, scratch), size, scratch)
@@ -225,12 +238,11 @@ def cut_spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, "text"):
             words = split_words(column(step, "text"))
-            texts = []
-            for d, masks in enumerate(column(step, "masks").to_pylist()):
+            gone, texts = _covered(words, column(step, "masks"), size), []
+            for d in range(len(step)):
                 b, e = words.first[d], words.first[d + 1]
-                out = _cover(masks, int(e - b), size)
                 starts = np.append(words.start[b:e], words.text_end[d])
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8)))
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone[b:e], [False]]).astype(np.int8)))
                 at, parts = words.text_start[d], []
                 for x, y in zip(starts[edge[::2]], starts[edge[1::2]], strict=True):
                     parts.append(words.buffer[at:x].tobytes())

@@ -104,6 +104,18 @@ def word_hashes(words: Words, seed: int = 0, lower: bool = False) -> np.ndarray:
         return mix64(total + (words.end - words.start).astype(np.uint64), seed)
 
 
+def joined(words: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the words (those that ``keep`` marks), one space after each, and where each of them begins there; then the end."""
+    start, end = (words.start, words.end) if keep is None else (words.start[keep], words.end[keep])
+    begin = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start + 1, out=begin[1:])
+    out = np.full(begin[-1], 0x20, np.uint8)
+    size = end - start
+    place = np.repeat(begin[:-1], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[place] = words.buffer[place + np.repeat(start - begin[:-1], size)]
+    return out, begin
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
