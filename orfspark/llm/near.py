@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .arrow import column, steps
 from .components import components
-from .scratch import Scratch, restrict, without
+from .scratch import BROADCAST_IDS, Scratch, restrict, without
 from .wordhash import mix64, shingles
 
 #: Words of a shingle; a link needs 100 * |A and B| >= PERCENT * |A or B|.
@@ -183,7 +183,8 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, bi, bj), all rows of a block pair together: pairs of different components that can be links.
 
-    A pair is looked at in the first band that it shares, and within one block pair only.
+    A pair is looked at in the first band that it shares, and within one block pair only. Rows of different blocks meet; rows of
+    one block do where the pair is of the block with itself.
     """
     keys = ("key", "bi", "bj")
     held: list[pa.RecordBatch] = []
@@ -249,9 +250,14 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(pa.array(link))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def named(pairs: DataFrame) -> DataFrame:
+    """The different ids of ``pairs(a, b)``."""
+    return pairs.select("a").union(pairs.select("b")).distinct()
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The links among ``pairs(a, b)`` of ids that ``docs`` has once. Only documents named in a pair are moved."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct()
+    ids = scratch.save(named(pairs), f"{name}-ids")
     texts = restrict(docs.select("doc_id", "text"), ids, "doc_id")
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
@@ -273,7 +279,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Each bucket of a band compares its members with one of them, drawn anew in each band. Links so confirmed give first
     components; then every pair of a bucket that still lies in different components is examined, in blocks that emit only
-    what sizes, corrected estimates and proven bounds cannot rule out. So no bucket is capped and no pair is skipped.
+    what sizes, corrected estimates and proven bounds cannot rule out. So no bucket is capped and no pair is skipped. Rows of
+    a bucket's largest component are dealt to blocks of the rows outside it, not to each other. Texts of any length are
+    sketched whole.
     """
     scratch = Scratch(docs.sparkSession, "near")
     given, repeated = docs, repeated_ids(docs)
@@ -283,42 +291,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         docs = scratch.save(without(docs, repeated, "doc_id").unionByName(same), "docs")
     sketches = scratch.save(sketch(docs), "sketches")
     classes = scratch.save(sketches.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("class_id")), "classes")
-    heads = restrict(sketches.where("n_shingles > 0"), classes.select("class_id").distinct(), "doc_id")
+    heads = restrict(sketches.where("n_shingles > 0"), classes.select("class_id"), "doc_id")
     each = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring(F.col("regs"), b * (2 * BAND) + 1, F.lit(2 * BAND)), b)))
     bands = heads.select("doc_id", "n_shingles", each.alias("band", "key"))
     draw = F.struct(F.xxhash64("doc_id", "key").alias("draw"), F.col("doc_id").alias("doc_id"), F.col("n_shingles").alias("n_shingles"))
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(draw).alias("head")).where("rows > 1")
     buckets = scratch.save(buckets.select("key", "rows", F.col("head.doc_id").alias("head"), F.col("head.n_shingles").alias("head_n")), "buckets")
-    few = buckets.limit(1_000_001).count() <= 1_000_000  # 40 bytes each
+    few = buckets.count() <= BROADCAST_IDS  # 40 bytes each
     members = bands.join(F.broadcast(buckets) if few else buckets, "key")
     members = scratch.save(members.select("key", "band", "rows", "doc_id", "n_shingles", "head", "head_n"), "members")
 
     size = 100 * F.least("n_shingles", "head_n") >= PERCENT * F.greatest("n_shingles", "head_n")
     star = members.where(size & (F.col("doc_id") != F.col("head"))).select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
     star = scratch.save(star, "star")
-    slim = restrict(sketches, star.select("a").union(star.select("b")).distinct(), "doc_id").select("doc_id", "n_shingles", "regs", "once", "twice")
+    slim = restrict(sketches, scratch.save(named(star), "star-ids"), "doc_id").select("doc_id", "n_shingles", "regs", "once", "twice")
     side = lambda c: slim.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n_shingles", "regs", "once", "twice")))
     hopeful = scratch.save(star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_screen, "a long, b long"), "hopeful")
-    links = scratch.save(confirm(hopeful, docs), "links")
-    scratch.drop("star", "hopeful")
+    links = scratch.save(confirm(hopeful, docs, scratch, "links"), "links")
+    scratch.drop("star", "star-ids", "hopeful", "links-ids")
     labels = components(links, scratch, "first")
 
     known = labels.select(F.col("node").alias("doc_id"), "comp")
     now = members.join(known, "doc_id", "left").select("key", "band", "rows", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
     now = scratch.save(now, "now")
-    mixed = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    few = mixed.limit(1_000_001).count() <= 1_000_000
-    rest = now.join(F.broadcast(mixed) if few else mixed, "key")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks")).cast("int"))
-    rest = scratch.save(rest, "rest")
-    slim = restrict(sketches, rest.select("doc_id").distinct(), "doc_id").select("doc_id", "n_shingles", "regs", "once", "twice")
-    spread = rest.join(slim, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "band", "comp", "doc_id", "n_shingles", "regs", "once", "twice")
+    # of each bucket with several components: the largest one and the number of rows outside it
+    by_comp = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("own")).groupBy("key")
+    mixed = by_comp.agg(F.max(F.struct("own", "comp")).alias("most"), (F.sum("own") - F.max("own")).alias("others")).where("others > 0")
+    mixed = scratch.save(mixed.select("key", F.col("most.comp").alias("largest"), F.col("most.own").alias("inside"), "others"), "mixed")
+    rest = now.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "key")
+    rest = scratch.save(rest.withColumn("most", F.col("comp") == F.col("largest")), "rest")
+    slim = restrict(sketches, scratch.save(rest.select("doc_id").distinct(), "rest-ids"), "doc_id").select("doc_id", "n_shingles", "regs", "once", "twice")
+    # rows outside the largest component meet each other and all of it, so a bucket's copies grow with those rows alone
+    number = lambda rows: F.ceil(F.col(rows) / BLOCK).cast("int")
+    place = lambda rows: F.pmod(F.xxhash64("doc_id", F.lit(5)), number(rows)).cast("int")
+    pair = lambda i, j: F.struct(i.alias("bi"), j.alias("bj"))
+    each = lambda rows, f: F.transform(F.sequence(F.lit(0), number(rows) - 1), f)
+    block = F.when(F.col("most"), -1 - place("inside")).otherwise(place("others"))
+    outside = F.concat(each("others", lambda o: pair(F.least("block", o), F.greatest("block", o))), each("inside", lambda i: pair(-1 - i, F.col("block"))))
+    meets = F.when(F.col("most"), each("others", lambda o: pair(F.col("block"), o))).otherwise(outside)
+    spread = rest.withColumn("block", block).join(slim, "doc_id").withColumn("meets", F.explode(meets))
+    spread = spread.select("key", "meets.bi", "meets.bj", "block", "band", "comp", "doc_id", "n_shingles", "regs", "once", "twice")
     spread = spread.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     more = scratch.save(spread.mapInArrow(_compare, "a long, b long").distinct(), "more")
-    scratch.drop("now", "rest", "members", "buckets")
-    extra = scratch.save(confirm(more, docs), "extra")
+    scratch.drop("now", "rest", "rest-ids", "members", "buckets", "mixed")
+    extra = scratch.save(confirm(more, docs, scratch, "extra"), "extra")
     if not extra.limit(1).isEmpty():
         links = links.union(extra)
         labels = components(links, scratch, "second")
