@@ -17,6 +17,8 @@ BITS, NEAREST = 64, 10
 QUERY_STEP = 50
 #: Distinct codes of an index shard, and distinct query codes of a block, at most about.
 SHARD, QUERIES = 50_000, 20_000
+#: Query codes of a block, at least, where shards alone would leave cores without work.
+FEWEST = 100
 
 
 def sign_code(vector: str, bits: int = BITS) -> Column:
@@ -78,7 +80,9 @@ def nearest_codes(vectors: DataFrame, k: int = NEAREST, step: int = QUERY_STEP)
 
     Queries are the rows whose id ``step`` divides; all rows, the query itself included, are searched. Equal distances go by
     id. Rows with a null vector have no code: they neither search nor are found; nor are rows with a null id. An empty
-    vector's code is 0. Rows that repeat an id count as often as they stand. With fewer than k rows all are returned.
+    vector's code is 0; null elements count as not positive, NaN as positive, and elements beyond the 64th are left out. Rows that
+    repeat an id count as often as they stand. With fewer than k rows all are returned. Extra columns are ignored; an empty table
+    gives an empty result. There are no texts.
 
     Codes are searched once however many rows share them. Shards of distinct codes, spread by hash, each carry a multi-index;
     a block of queries meets every shard, and only the k nearest of each leave it.
@@ -89,7 +93,9 @@ def nearest_codes(vectors: DataFrame, k: int = NEAREST, step: int = QUERY_STEP)
     classes = scratch.save(coded.groupBy("code").agg(F.min("vec_id").alias("first")), "classes")
     queries = coded.where(F.col("vec_id") % step == 0)
     distinct = scratch.save(queries.select("code").distinct(), "queries")
-    shards, blocks = max(1, -(-classes.count() // SHARD)), max(1, -(-distinct.count() // QUERIES))
+    shards, asked = max(1, -(-classes.count() // SHARD)), distinct.count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-asked // QUERIES), min(-(-cores // shards), asked // FEWEST))
     part = lambda n, seed: F.pmod(F.xxhash64("code", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = classes.select("code", "first", part(shards, 1).alias("shard"), every(blocks).alias("block"))

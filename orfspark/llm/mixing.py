@@ -98,6 +98,11 @@ def _draw(*columns) -> Column:
     return F.xxhash64(*columns)
 
 
+def _id_draw() -> Column:
+    """The draw of a document: by its id, or by its text where it has none."""
+    return F.when(F.col("doc_id").isNull(), _draw("text", F.lit(1))).otherwise(_draw("doc_id"))
+
+
 def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """Ready to be broadcast where it has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -110,16 +115,16 @@ def _copies(docs: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), _draw("doc_id").alias("draw"), word_count().alias("tokens"))
+    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), _id_draw().alias("draw"), word_count().alias("tokens"))
 
 
 def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per copy of a document in the mixture: doc_id, source, copy, tokens, block, position.
 
     Tokens are words of the whole text. A null source counts as the empty one; a null or empty text has no tokens and rides
-    along. A source without tokens passes once. Rows that repeat an id, and rows with a null id, share their place in the
-    permutation and are taken together; ties in it break by copy and id. Extra columns are ignored; an empty table gives an
-    empty result.
+    along. A source without tokens passes once, spread over all blocks. Rows that repeat an id share their place in the
+    permutation and are taken together, as do rows with a null id and the same text; ties in it break by copy and id. Texts of
+    any length are counted whole and never split. Extra columns are ignored; an empty table gives an empty result.
 
     Each pass of a source is a fresh permutation by hash. Its tokens are dealt to blocks in proportion to the weight, so
     every block holds each source's share up to a document; within a block a second hash gives the order.
@@ -127,24 +132,30 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     scratch = Scratch(docs.sparkSession, "mix")
     sizes = scratch.save(_sizes(docs), "sizes")
     planned = plan(sizes, entropy, repeats, budget)
+    used, = planned.agg(F.sum(F.col("tokens") * F.col("passes"))).first()
+    idle = sizes.join(_small(planned.where("weight = 0").select("source")), "source", "left_semi").count()
+    blocks = max(1, int((used or 0) // block_tokens), idle // block_tokens)
     each = _copies(sizes, planned).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    each = each.withColumn("turn", _draw("doc_id", "copy")).withColumn("cell", F.shiftrightunsigned("turn", 64 - _BITS))
+    each = each.withColumn("turn", _draw("draw", "copy")).withColumn("cell", F.shiftrightunsigned("turn", 64 - _BITS))
     each = each.select("doc_id", "source", "copy", "tokens", "turn", "cell", "weight", "source_tokens")
     by_cell = Window.partitionBy("source", "copy").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = each.groupBy("source", "copy", "cell").agg(F.sum("tokens").alias("cell_tokens")).withColumn("before", F.sum("cell_tokens").over(by_cell) - F.col("cell_tokens"))
     inside = Window.partitionBy("source", "copy", "cell").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = each.join(cells.select("source", "copy", "cell", "before"), ["source", "copy", "cell"])
     at = F.col("copy") * F.col("source_tokens") + F.col("before") + F.sum("tokens").over(inside) - F.col("tokens")
-    block = F.when(F.col("weight") > 0, F.floor(at / (F.col("weight") * F.lit(float(block_tokens))))).otherwise(F.pmod("turn", F.lit(1)))
+    block = F.when(F.col("weight") > 0, F.floor(at / (F.col("weight") * F.lit(float(block_tokens))))).otherwise(F.pmod("turn", F.lit(blocks)))
     placed = placed.withColumn("block", block.cast("long"))
-    order = Window.partitionBy("block").orderBy(_draw("doc_id", "copy", "block"), "copy", "doc_id")
+    order = Window.partitionBy("block").orderBy(_draw("turn", "block"), "copy", "doc_id")
     return placed.withColumn("position", F.row_number().over(order) - 1).select("doc_id", "source", "copy", "tokens", "block", F.col("position").cast("long").alias("position"))
 
 
 def mixed(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) -> DataFrame:
-    """Rows of ``docs``, each as often as the mixture takes it; all columns as they were. Texts are not shuffled."""
+    """Rows of ``docs``, each as often as the mixture takes it; all columns as they were, extra ones too. Texts are not shuffled.
+
+    Nulls, empty and long texts, repeated rows, ties and sources without tokens count as in ``mix``; an empty table stays empty.
+    """
     scratch = Scratch(docs.sparkSession, "mix")
     planned = plan(scratch.save(_sizes(docs), "sizes"), entropy, repeats)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    keyed = docs.select(F.coalesce("source", F.lit("")).alias("source"), _draw("doc_id").alias("draw"), row)
+    keyed = docs.select(F.coalesce("source", F.lit("")).alias("source"), _id_draw().alias("draw"), row)
     return _copies(keyed, planned).select("row", F.explode_outer(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).where("copy is not null").select("row.*")

@@ -16,10 +16,8 @@ from .scratch import Scratch
 from .tokens import default_vocabulary, encoder
 
 CAPACITY, END_ID = 4096, 1
-#: Pieces that one task packs; about 40 bytes each.
-PIECES = 40_000
-#: Rounds of exchange, at most; each takes only what the round before left in bins with room.
-ROUNDS = 6
+#: Pieces that one task packs; about 150 bytes each. Later rounds halve the tasks up to so many times as many pieces in one.
+PIECES, FULLER = 40_000, 8
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
@@ -98,58 +96,63 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _pack(batches: Iterator[pa.RecordBatch], capacity: int, step: int, last: bool) -> Iterator[pa.RecordBatch]:
-    """Pack a partition. Bins stay open to the next round where they have room and the partition's count is not proven least,
-    or where they are the emptiest of a proven packing, whose room only other partitions can fill."""
+    """Pack a partition; ``certified`` where its number of bins meets its bound. Bins stay open to the next round where they have
+    room and the partition is not certified, or where they are the emptiest of one that is, whose room only others can fill."""
     held = [b for b in batches if len(b)]
     if not held:
         return
     rows = pa.Table.from_batches(held).combine_chunks()
     lengths = rows.column("length").to_numpy()
     bins, offsets, free = best_fit(lengths, capacity)
-    bound = lower_bound(*np.unique(lengths, return_counts=True), capacity)
-    open_ = free * 100 > capacity if len(free) > bound else free * 20 > capacity
+    certified = len(free) == lower_bound(*np.unique(lengths, return_counts=True), capacity)
+    open_ = free * 20 > capacity if certified else free * 100 > capacity
     if last:
         open_[:] = False
     base = (step << 56) | (TaskContext.get().partitionId() << 24)
-    out = rows.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets)).append_column("open", pa.array(open_[bins]))
-    yield from out.combine_chunks().to_batches()
+    more = {"sequence_id": pa.array(bins + base), "offset": pa.array(offsets), "open": pa.array(open_[bins]), "certified": pa.array(np.full(len(rows), certified))}
+    for name, values in more.items():
+        rows = rows.append_column(name, values)
+    yield from rows.combine_chunks().to_batches()
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of ``docs``.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of ``docs``, and the proof:
+    ``certified`` (the partition that made the sequence has as few as its own bound allows) and ``least_sequences`` (the bound
+    of the whole table; as many sequences are as few as can be).
 
-    A null or empty text is one piece with END_ID alone. Rows with a null id and rows that repeat an id are packed like
-    others. Extra columns are ignored; an empty table gives an empty result.
+    A null or empty text is one piece with END_ID alone; a text of any length is encoded whole. Rows with a null id and rows
+    that repeat an id are packed like others. Pieces of equal length are packed in any order. Extra columns are ignored; an
+    empty table gives an empty result.
 
     Each partition runs best-fit decreasing and compares its bins with its own lower bound. What lies in bins with room is
-    exchanged: it goes to fewer partitions that pack it anew, round after round, until the sum of bins meets the bound of
-    the whole table (from counts by length), nothing is gained, or one partition held all.
+    exchanged: it goes to fewer partitions, which pack it anew, round after round, until the sum of bins meets the bound of the
+    whole table (from counts by length), one partition held all that was left, or a round gains nothing and partitions can be no
+    fewer, as each holds what a task may.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    left = scratch.save(pieces(docs, capacity, vocabulary), "pieces")
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
+    left = scratch.save(pieces(docs, capacity, vocabulary).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long, open boolean, certified boolean"
     by_length = left.groupBy("length").count().collect()  # at most ``capacity`` rows
     least = lower_bound(np.array([r.length for r in by_length], np.int64), np.array([r["count"] for r in by_length], np.int64), capacity)
-    # a piece that fills a sequence needs no partner
-    rows, done, closed, tasks, before = sum(r["count"] for r in by_length), [], 0, 0, None
-    for step in range(ROUNDS):
-        tasks = max(1, min(-(-rows // PIECES), tasks // 2 or rows))
-        last = tasks == 1 or step == ROUNDS - 1
-        dealt = left.repartition(tasks, "doc_id", "piece", F.lit(step))
-        name = f"round-{step}"
-        packed = scratch.save(dealt.mapInArrow(lambda b, step=step, last=last: _pack(b, capacity, step, last), schema), name)
+    rows, done, closed, before, step = sum(r["count"] for r in by_length), [], 0, None, 0
+    tasks = 2 * rows
+    while True:
+        earlier, tasks = tasks, max(1, min(-(-rows // PIECES), tasks // 2), -(-rows // (FULLER * PIECES)))
+        # dealt by row numbers, so ids that are null or repeat are spread too
+        dealt = left.repartition(tasks, "row", F.lit(step))
+        packed = scratch.save(dealt.mapInArrow(lambda b, step=step, last=tasks == 1: _pack(b, capacity, step, last), schema), f"round-{step}")
         sums = packed.groupBy("open").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("sequence_id").alias("bins")).collect()
         bins = {r.open: r.bins for r in sums}
         rows = sum(r.rows for r in sums if r.open)
         total = closed + sum(bins.values())
-        if not rows or total <= least or (before is not None and total >= before):
+        if not rows or total <= least or (before is not None and total >= before and tasks >= earlier):
             done.append(packed)
             break
         done.append(packed.where("not open"))
         closed += bins.get(False, 0)
-        before, left = total, packed.where("open").select(columns)
+        before, left, step = total, packed.where("open").select(*columns, "row"), step + 1
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
-    return out.select(*columns, "sequence_id", "offset")
+    return out.select(*columns, "sequence_id", "offset", "certified", F.lit(least).cast("long").alias("least_sequences"))

@@ -154,7 +154,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     usable = labels.where("toxic is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     chosen = scratch.save(chosen, "chosen")
-    texts = restrict(docs.select("doc_id", "text"), chosen.select("doc_id"), "doc_id").join(F.broadcast(chosen), "doc_id")  # TRAIN_ROWS rows
+    # one text per id, the smallest of those that share it, so there are TRAIN_ROWS rows at most
+    texts = restrict(docs.select("doc_id", "text"), chosen.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = scratch.save(texts.join(F.broadcast(chosen), "doc_id"), "texts")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, "text"):
@@ -166,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     heads = bands.groupBy("band", "key").agg(F.min("doc_id").alias("head"))
     copies = bands.join(heads, ["band", "key"]).where("head < doc_id").select("doc_id").distinct()
     chosen = scratch.save(chosen.join(copies, "doc_id", "left_anti"), "different")
-    texts = restrict(docs.select("doc_id", "text"), chosen.select("doc_id"), "doc_id").join(F.broadcast(chosen), "doc_id")
+    texts = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, "text"):
@@ -212,7 +214,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Only texts are scored: null and empty ones get the score of a text without features. Rows that repeat an id are scored
-    by their own texts. A null id is not held out. Where several labels name one document the highest counts; null labels
+    by their own texts, and the classifier learns from the smallest of them. Texts of any length are read whole. A null id is not held out. Where several labels name one document the highest counts; null labels
     count as none. Extra columns are ignored; an empty table gives an empty result.
     """
     model = train(docs, labels)
