@@ -38,6 +38,13 @@ FURNITURE = frozenset(
     "menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comments comment commentlist respond disqus share sharing "
     "social related recommended recommendations pagination pager login toolbar skip".split()
 )
+#: Words that say in a class or id name what shape or place a thing has, not what it is about.
+LAYOUT = frozenset(
+    "area article articles bar block body bottom box boxes btn button buttons center col column container content count counter desktop fixed float "
+    "follow grid group head header heading icon icons image img inline inner item items label layout left link links list main media mobile module "
+    "outer page pages panel placeholder post posts primary region right row secondary section site slot small sticky stories text title top unit "
+    "view wrap wrapper zone".split()
+)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 #: What an open element of the key's kind closes when the next one begins, up to the nearest element that bounds it.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -79,8 +86,13 @@ def _furniture(name: str, attrs: dict[str, str], inside_article: bool) -> bool:
         return True
     if name in ("html", "body", "article", "main"):
         return False
-    named = attrs.get("class", "") + " " + attrs.get("id", "")
-    return any(w.lower() in FURNITURE for w in _WORDS.findall(named))
+    return any(map(_named, (attrs.get("class", "") + " " + attrs.get("id", "")).split()))
+
+
+def _named(name: str) -> bool:
+    """Whether a class or id names furniture and nothing else: "related-posts" does, "related-work" is about some work."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return any(w in FURNITURE for w in words) and all(w in FURNITURE or w in LAYOUT or w.isdigit() for w in words)
 
 
 def parse(text: str) -> Page:
@@ -281,22 +293,22 @@ def counted(page: Page) -> list[tuple[int, bool, int]]:
     return [(digest, page.elements[i].name in PROSE, rest) for i, digest, rest in subtrees(page) if may[i] and page.elements[i].chars <= most]
 
 
-def main_text(page: Page, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's blocks in page order, joined by two line feeds, without furniture and without recurring subtrees.
+def article(page: Page) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """The article's blocks in page order, without furniture; and hash, first and last block (exclusive) of each subtree that
+    may be deleted. An element's blocks stand together, as each is read before the element ends."""
+    inside, may = _inside(page), deletable(page)
+    kept = [k for k, (e, _) in enumerate(page.blocks) if inside[e] and not page.elements[e].dropped]
+    number = {k: n for n, k in enumerate(kept)}
+    spans = []
+    for i, digest, _ in subtrees(page):
+        own = [number[k] for k in page.elements[i].blocks if k in number] if may[i] else []
+        if own:
+            spans.append((digest, own[0], own[-1] + 1))
+    return [page.blocks[k][1] for k in kept], spans
 
-    Where nothing is left without recurring subtrees, they stay.
-    """
-    may = deletable(page) if templates else []
-    gone = {i for i, digest, _ in subtrees(page) if digest in templates and may[i]} if templates else set()
-    inside = _inside(page)
-    kept, out = [], []
-    for e, text in page.blocks:
-        if not inside[e] or page.elements[e].dropped:
-            continue
-        kept.append(text)
-        at = e
-        while at >= 0 and at not in gone:
-            at = page.elements[at].parent
-        if at < 0:
-            out.append(text)
-    return "\n\n".join(out or kept)
+
+def main_text(page: Page, templates: frozenset[int] | set[int] = frozenset()) -> str:
+    """The article's blocks, joined by two line feeds, without recurring subtrees; where nothing is left without them, they stay."""
+    blocks, spans = article(page)
+    gone = {k for digest, low, high in spans if digest in templates for k in range(low, high)}
+    return "\n\n".join([text for k, text in enumerate(blocks) if k not in gone] or blocks)

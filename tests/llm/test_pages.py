@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from orfspark.llm import pages
-from orfspark.llm.html import main_text, parse
+from orfspark.llm.html import counted, deletable, main_text, parse, subtrees
 
 PAGES = "page_id long, url string, html string"
 
@@ -67,6 +69,18 @@ def test_article_and_main(html, text):
     assert main_text(parse(html)) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<article><div class="social-studies"><p>On schools.</p></div><section id="relatedWork"><p>Others did so too.</p></section></article>', "On schools.\n\nOthers did so too."),
+        ('<p>x</p><div class="related-posts">r</div><div class="ad-slot-2">a</div><ul id="shareButtons"><li>s</ul><div class="wide social">s</div>', "x"),
+        ('<p>x</p><p class="notice-period">The notice period is a month.</p><p class="noticeBox">n</p>', "x\n\nThe notice period is a month."),
+    ],
+)
+def test_a_name_is_furniture_only_as_a_whole(html, text):
+    assert main_text(parse(html)) == text
+
+
 def test_long_and_deep_pages_end():
     assert main_text(parse("<div>" * 3000 + "x")) == "x"
     assert len(main_text(parse("<article>" + "<p>word &amp; more</p>" * 50_000))) == 50_000 * 11 + 2 * 49_999
@@ -144,3 +158,41 @@ def test_odd_rows(spark):
     got = sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in pages.extract(df).collect())
     assert got == [(0, "x", "a", 1), (1, "", "", 0), (1, "", "", 0), (2, "https://u", "", 0), (3, "", "é😀", 2)]
     assert pages.extract(df.limit(0)).collect() == []
+
+
+def _by_hand(rows, least=5, share=0.2, many=100):
+    """The texts, with templates counted in plain loops over all pages of a host."""
+    from urllib.parse import urlsplit
+
+    read = [(i, urlsplit(u or "").netloc, parse(h or "")) for i, u, h in rows]
+    texts = {}
+    for i, host, page in read:
+        beside, articles = {}, set()
+        for _, other, p in read:
+            if other == host:
+                articles.add(p.elements[p.main].digest)
+                for digest, prose, rest in counted(p):
+                    beside.setdefault((digest, prose), set()).add(rest)
+        found = {d for (d, prose), rests in beside.items() if len(rests) >= least and (len(rests) >= share * len(articles) or not prose and len(rests) >= many)}
+        gone = {e for e, digest, _ in subtrees(page) if digest in found and deletable(page)[e]}
+        ancestors = lambda e: {e} | ancestors(page.elements[e].parent) if e >= 0 else set()
+        kept = [(t, ancestors(e)) for e, t in page.blocks if not page.elements[e].dropped and page.main in ancestors(e)]
+        texts[i] = "\n\n".join([t for t, up in kept if not up & gone] or [t for t, _ in kept])
+    return texts
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_templates_equal_counting_by_hand(spark, seed):
+    rng = random.Random(seed)
+    boxes = [f"<div><p>Box {k} of the site</p></div>" for k in range(6)] + ["<p>Thank you.</p>", "<ul><li>One<li>Two</ul>"]
+    story = lambda: "".join(f"<p>{' '.join(rng.choices('red green blue one two three'.split(), k=rng.randint(2, 9)))}</p>" for _ in range(rng.randint(1, 6)))
+    rows = []
+    for i in range(60):
+        body = [story(), *rng.sample(boxes, rng.randint(0, 4))]
+        rng.shuffle(body)
+        rows.append((i, f"https://h{rng.randint(0, 2)}.example/{i}", rng.choice(["<article>{}</article>", "<main>{}</main>", "{}"]).format("".join(body))))
+    rows += [(60 + k, "https://h0.example/c", rows[0][2]) for k in range(20)]
+    expected = _by_hand(rows)
+    assert _texts(spark, rows) == expected
+    # the count decides: without it boxes stay
+    assert expected != {i: main_text(parse(h)) for i, _, h in rows}
