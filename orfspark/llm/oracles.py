@@ -103,3 +103,18 @@ FROM bare b JOIN up u ON b.mid = u.mid JOIN bare r ON u.root = r.mid LEFT JOIN p
 LEFT JOIN (SELECT mid, count(*) AS n, max(depth) AS deep FROM passages GROUP BY mid) q ON b.mid = q.mid
 LEFT JOIN (SELECT mid, count(*) AS n FROM linked WHERE original IS NOT NULL AND original <> mid GROUP BY mid) h ON b.mid = h.mid
 """
+
+#: Conversations whose messages quote, in SQL that Spark and DuckDB both run: each odd turn quotes the message before it, each
+#: second of the others quotes that one with its quotation.
+QUOTED = """
+SELECT conv_id, turn, role,
+       CASE WHEN turn % 2 = 1 AND one IS NOT NULL THEN concat('> ', replace(one, chr(10), concat(chr(10), '> ')), chr(10), own)
+            WHEN turn % 4 = 2 AND two IS NOT NULL
+            THEN concat('> ', replace(concat('> ', replace(two, chr(10), concat(chr(10), '> ')), chr(10), one), chr(10), concat(chr(10), '> ')), chr(10), own)
+            ELSE own END AS text
+FROM (
+  SELECT conv_id, turn, role, coalesce(text, '') AS own, lag(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS one,
+         lag(coalesce(text, ''), 2) OVER (PARTITION BY conv_id ORDER BY turn) AS two
+  FROM {conversations}
+) AS c"""
+QUOTED_SQL = QUOTES_SQL.replace("WITH RECURSIVE", f"WITH RECURSIVE quoted AS ({QUOTED.format(conversations='conversations')}),").replace("coalesce(text, '') AS text FROM conversations", "coalesce(text, '') AS text FROM quoted")

@@ -10,7 +10,7 @@ from .attribution import attribute
 from .hamming import nearest_codes
 from .mixing import mix
 from .near import near_duplicates
-from .oracles import HAMMING_SQL, NEAR_SQL, QUOTES_SQL, SUBSTRING_SQL
+from .oracles import HAMMING_SQL, NEAR_SQL, QUOTED, QUOTED_SQL, QUOTES_SQL, SUBSTRING_SQL
 from .packing import pack
 from .pages import extract
 from .quality import quality_rules
@@ -31,6 +31,11 @@ def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(_table(spark, sf_dir, "conversations"))
 
 
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking over all conversations with quotations put into them, as the table itself has none."""
+    return link_quotes(spark.sql(QUOTED, conversations=_table(spark, sf_dir, "conversations")))
+
+
 def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_codes(_table(spark, sf_dir, "embeddings"))
 
@@ -66,10 +71,10 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_source_mixing, op2_quotation_linking, op3_hamming_top_k, op4_best_fit_packing, op5_minhash_near_dedup, op6_quality_rules,
-        op7_toxicity, op8_html_extraction, op9_substring_dedup, op10_token_attribution,
+        op7_toxicity, op8_html_extraction, op9_substring_dedup, op10_token_attribution, quoted_conversations,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quotation_linking": QUOTES_SQL, "op3_hamming_top_k": HAMMING_SQL, "op5_minhash_near_dedup": NEAR_SQL, "op9_substring_dedup": SUBSTRING_SQL}
+    return {"op2_quotation_linking": QUOTES_SQL, "quoted_conversations": QUOTED_SQL, "op3_hamming_top_k": HAMMING_SQL, "op5_minhash_near_dedup": NEAR_SQL, "op9_substring_dedup": SUBSTRING_SQL}

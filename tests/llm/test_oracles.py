@@ -54,3 +54,8 @@ def test_quotations(spark):
     ]
     messages = spark.createDataFrame(rows, test_quotes.MESSAGES)
     assert _spark(quotes.link_quotes(messages)) == _sql("op2_quotation_linking", {"conversations": messages})
+
+
+def test_quoted_conversations_have_quotations(spark, data):
+    rows = queries.quoted_conversations(spark, data).collect()
+    assert sum(r.n_linked for r in rows) > len(rows) / 3 and max(r.quote_levels for r in rows) == 2 and max(r.depth for r in rows) > 1

@@ -71,3 +71,40 @@ def test_forest_scores_outliers_higher():
     assert (forest.score(odd) > forest.score(usual[:200])).mean() > 0.97
     flat = np.zeros((5, 2))
     assert rules.IsolationForest(flat, flat[0], flat[0]).score(flat).shape == (5,)
+
+
+def _score_by_hand(forest, row):
+    """A row's anomaly by walking each tree from its root."""
+    total = 0.0
+    for feature, cut, right, path in forest.trees:
+        at = 0
+        while feature[at] >= 0:
+            at = at + 1 if row[feature[at]] < cut[at] else int(right[at])
+        total += path[at]
+    n = forest.size
+    usual = 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
+    return 2 ** -(total / len(forest.trees) / usual)
+
+
+def test_verdicts_equal_walking_the_trees(spark):
+    texts = _corpus() | {900: None, 901: "short"}
+    docs = brute.docs(spark, texts)
+    known = {i: int(i % 10 > 0) for i in range(0, 400, 3)}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in known.items()], LABELS)
+    forest = quality.fit_forest(docs, labels)
+    failed, anomaly = {}, {}
+    for i, t in texts.items():
+        s = brute.statistics(t)
+        failed[i] = s[0] < 10 or 100 * s[4] > 20 * s[0]
+        anomaly[i] = _score_by_hand(forest, rules.statistics(pa.array([t], pa.string()))["features"][0])
+    # every threshold a bin has, by counting labelled rows at or over it
+    judged = {i: int(anomaly[i] * quality._BINS) for i in known if not failed[i]}
+    share = lambda q, b: sum(judged[i] >= b for i in judged if known[i] == q) / sum(known[i] == q for i in judged)
+    gains = {b: share(0, b) - quality.CLEAN_WEIGHT * share(1, b) for b in range(quality._BINS + 2)}
+    best = max(gains, key=lambda b: (gains[b], -b))
+    assert gains[best] > 0
+    got = {r.doc_id: r for r in quality.quality_rules(docs, labels).collect()}
+    for i in texts:
+        assert got[i].anomaly == pytest.approx(anomaly[i])
+        assert got[i].kept == (not failed[i] and anomaly[i] < best / quality._BINS)
+    assert any(not r.kept and not r.base_failed for r in got.values())

@@ -1,3 +1,5 @@
+import collections
+import math
 import random
 import zlib
 
@@ -84,3 +86,50 @@ def test_swaps_and_features():
     assert toxicity._swapped("The Women and (gay) men, said") == "The men and (straight) girls, said"
     owner, values = toxicity.features(pa.array(["Idiots!!", "idiots", None, ""]))
     assert set(values[owner == 0]) == set(values[owner == 1]) and not (owner > 1).any()
+
+
+def _kinds(text):
+    """The words of a text and their beginnings, as strings."""
+    out = set()
+    for w in brute.WORD.findall(text or ""):
+        bare = w.encode()
+        for _ in range(4):
+            if len(bare) > 1 and not (bare[-1:].isalnum() or bare[-1] >= 128):
+                bare = bare[:-1]
+            if len(bare) > 1 and not (bare[:1].isalnum() or bare[0] >= 128):
+                bare = bare[1:]
+        bare = bytes(c + 32 if 65 <= c <= 90 else c for c in bare)
+        out |= {(0, bare)} | {(k, bare[:k]) for k in toxicity.BEGINNINGS if len(bare) > k}
+    return out
+
+
+def test_scores_equal_a_plain_fit(spark):
+    texts, toxic = _corpus(500, 4)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(brute.docs(spark, texts), spark.createDataFrame([(i, 1, t) for i, t in toxic.items()], LABELS)).collect()}
+    learnt = sorted(i for i in texts if zlib.crc32(str(i).encode()) % 5)
+    bad = {i for i in learnt if toxic[i]}
+    have = {i: _kinds(t) for i, t in texts.items()}
+    count = lambda ids: collections.Counter(k for i in ids for k in have[i])
+    in_bad, in_good = count(bad), count(set(learnt) - bad)
+    part = lambda x, n, total: x * math.log(x * len(learnt) / n / total) if x else 0.0
+    gain = {k: 2 * (part(in_bad[k], len(bad), in_bad[k] + in_good[k]) + part(in_good[k], len(learnt) - len(bad), in_bad[k] + in_good[k])) for k in {*in_bad, *in_good} if in_bad[k] + in_good[k] >= toxicity.LEAST_DOCS}
+    chosen = sorted(k for k, g in gain.items() if g >= toxicity.LEAST_GAIN)
+    assert 5 <= len(chosen) < toxicity.FEATURES
+    # features in the order of the model, as steps of the fit leave some out by their places
+    hashed = {k: int(toxicity.word_hashes(toxicity.split_words(pa.array([k[1].decode(errors="replace")])), 90 + k[0], lower=True)[0]) for k in chosen}
+    chosen.sort(key=hashed.get)
+    pairs = lambda sets: tuple(np.array(x, np.int64) for x in zip(*((r, c) for r, s in enumerate(sets) for c, k in enumerate(chosen) if k in s), strict=True))
+    terms = toxicity._terms()
+    named = np.array([any(w.strip(".,;:!?\"'()").lower() in terms for w in texts[i].split()) for i in learnt])
+    swapped = [_kinds(toxicity._swapped(texts[i])) if n else set() for i, n in zip(learnt, named, strict=True)]
+    weights, bias = toxicity.fit(pairs([have[i] for i in learnt]), pairs(swapped), named, np.array([float(i in bad) for i in learnt]), len(chosen))
+    for i in texts:
+        logit = bias + sum(w for k, w in zip(chosen, weights, strict=True) if k in have[i])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-min(30, max(-30, logit)))), abs=1e-6)
+
+
+def test_training_rows_are_bounded_however_often_an_id_stands(spark):
+    rows = [(1, f"w{k} one", "en", "s", 1) for k in range(300)] + [(2, "two words", "en", "s", 1), (3, None, "en", "s", 0)]
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 1, 0)], LABELS)
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, brute.DOCS), labels).collect()
+    assert len(got) == 302 and all(0 <= r.score <= 1 for r in got)
