@@ -15,17 +15,17 @@ STEP_BYTES = 600_000
 
 #: Fixed values of glibc's mallopt: the options for the sizes from which memory is mapped by itself and kept at the heap's end.
 _MMAP_THRESHOLD, _TRIM_THRESHOLD = -3, -1
-_MAPPED = 256 << 10
+_MAPPED = 16 << 20
 
 
 @cache
 def _lean() -> Callable[[], object]:
-    """Have large arrays of this worker mapped by themselves, so they go back when freed; the call that gives back the rest."""
+    """Have this worker's arrays come from one heap, very large ones mapped by themselves; the call that gives back what is free."""
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         c = ctypes.CDLL(None)
         c.mallopt(_MMAP_THRESHOLD, _MAPPED)
-        c.mallopt(_TRIM_THRESHOLD, _MAPPED)
+        c.mallopt(_TRIM_THRESHOLD, 2 * _MAPPED)
         trim = c.malloc_trim
     except (OSError, AttributeError):  # another C library
         return lambda: None

@@ -136,9 +136,10 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
 def recurring(docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     """key, first, mask: the ranges with a window that also starts elsewhere; bit i of mask stands for window first + i."""
     every = scratch.save(ranges(docs, size), "ranges")
-    twice = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    # written, so that the join stands on exchanges alone and a hot anchor's partition can be split
+    twice = scratch.save(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"), "anchors")
     found = scratch.save(every.join(twice, "anchor", "left_semi"), "found")
-    scratch.drop("ranges")
+    scratch.drop("ranges", "anchors")
     one = F.min(F.struct("key", "first", "n")).alias("one")
     distinct = scratch.save(found.groupBy("anchor", "range").agg(F.count(F.lit(1)).alias("times"), one), "distinct")
     many = scratch.save(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("ranges")).where("ranges > 1"), "many")
