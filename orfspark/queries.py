@@ -19,21 +19,22 @@ _ORACLE: dict[str, str] = {}
 
 #: Every codon of the default start and stop sets, with its place.
 _CODONS = """
-codons AS (
-  SELECT tran_id, length(seq) AS size, i - 1 AS pos, substr(seq, i, 3) AS codon, seq
-  FROM (SELECT tran_id, seq, unnest(generate_series(1, greatest(length(seq) - 2, 0))) AS i FROM tr) AS s
-  WHERE substr(seq, i, 3) IN ('ATG', 'CTG', 'GTG', 'TAA', 'TAG', 'TGA')
+letters AS (
+  SELECT tran_id, length(seq) AS size, substr(seq, length(seq) - 2, 3) AS tail, string_split(seq, '') AS c FROM tr
+), codons AS (
+  SELECT tran_id, size, tail, i - 1 AS pos, codon
+  FROM (SELECT tran_id, size, tail, i, c[i] || c[i + 1] || c[i + 2] AS codon FROM (SELECT *, unnest(generate_series(1, greatest(size - 2, 0))) AS i FROM letters) AS s) AS t
+  WHERE codon IN ('ATG', 'CTG', 'GTG', 'TAA', 'TAG', 'TGA')
 )"""
 _ORFS = """
 paired AS (
-  SELECT tran_id, pos, codon, size, seq,
-         min(CASE WHEN codon IN ('TAA', 'TAG', 'TGA') THEN pos END) OVER (PARTITION BY tran_id, pos % 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop_pos
+  SELECT *, min(CASE WHEN codon IN ('TAA', 'TAG', 'TGA') THEN {{'pos': pos, 'codon': codon}} END)
+              OVER (PARTITION BY tran_id, pos % 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_stop
   FROM codons
 ), orf AS (
-  SELECT tran_id, CAST(pos AS BIGINT) AS start, CAST(coalesce(stop_pos + 2, size) AS BIGINT) AS stop,
-         CAST(coalesce(stop_pos + 2, size) - (pos + 2) AS BIGINT) AS length, codon AS startorf,
-         CASE WHEN stop_pos IS NULL THEN substr(seq, length(seq) - 2, 3) ELSE substr(seq, CAST(stop_pos + 1 AS BIGINT), 3) END AS stoporf
-  FROM paired WHERE codon IN ({starts}) AND coalesce(stop_pos + 2, size) - (pos + 2) > {low} AND coalesce(stop_pos + 2, size) - (pos + 2) < {high}
+  SELECT tran_id, CAST(pos AS BIGINT) AS start, CAST(coalesce(next_stop.pos + 2, size) AS BIGINT) AS stop,
+         CAST(coalesce(next_stop.pos + 2, size) - (pos + 2) AS BIGINT) AS length, codon AS startorf, coalesce(next_stop.codon, tail) AS stoporf
+  FROM paired WHERE codon IN ({starts}) AND coalesce(next_stop.pos + 2, size) - (pos + 2) > {low} AND coalesce(next_stop.pos + 2, size) - (pos + 2) < {high}
 )"""
 _EXON = """
 exon AS (
