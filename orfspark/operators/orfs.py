@@ -15,11 +15,11 @@ STARTS, STOPS = ("ATG",), ("TAA", "TAG", "TGA")
 
 
 def spliced_transcripts(genome: DataFrame, exons: DataFrame) -> DataFrame:
-    """(tran_id, seq) from contigs ``genome(chr, seq)``: exon sequences (1-based inclusive) in transcript order, 5' to 3'."""
-    piece = F.substring(F.col("seq"), F.col("start").cast("int"), (F.col("stop") - F.col("start") + 1).cast("int"))
-    cut = exons.join(genome, "chr").withColumn("piece", F.when(F.col("strand") == "-", reverse_complement(piece)).otherwise(piece))
-    parts = F.array_sort(F.collect_list(F.struct("exon_idx", "piece")))
-    return cut.groupBy("tran_id").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("seq"))
+    """(tran_id, seq) from contigs ``genome(chr, seq)``: exon sequences (1-based inclusive) in transcript order, 5' to 3'.
+
+    Exons meet the tiles of a contig that they overlap, not the contig, so a long one is not one key.
+    """
+    return spliced_from_chunks(genome.select("chr", F.lit(0).cast("long").alias("offset"), F.coalesce("seq", F.lit("")).alias("seq")), exons)
 
 
 #: Positions of a tile, the part of a chunk that an exon is cut from.
@@ -40,7 +40,7 @@ def chunk_offsets(chunks: DataFrame, cell: int = 4096) -> DataFrame:
 
 
 def spliced_from_chunks(chunks: DataFrame, exons: DataFrame, tile: int = TILE) -> DataFrame:
-    """``spliced_transcripts`` of contigs in ``chunks(chr, offset, seq)``: each exon is cut from the tiles that it overlaps."""
+    """(tran_id, seq) of contigs in ``chunks(chr, offset, seq)``: each exon is cut from the tiles that it overlaps."""
     last = exons.groupBy("chr").agg(F.max("stop").alias("last"))
     size, end = F.length("seq").cast("long"), F.col("offset") + F.length("seq")
     bins = F.sequence(F.floor(F.col("offset") / tile), F.floor((end - 1) / tile))
@@ -60,8 +60,14 @@ def spliced_from_chunks(chunks: DataFrame, exons: DataFrame, tile: int = TILE) -
     return pieces.groupBy("tran_id").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("seq"))
 
 
+def normalised(transcripts: DataFrame) -> DataFrame:
+    """Sequences in upper case, with T for U."""
+    return transcripts.withColumn("seq", F.translate(F.upper("seq"), "U", "T"))
+
+
 def _hits(transcripts: DataFrame, codons: Sequence[str]) -> DataFrame:
-    """(tran_id, size, tail, pos, codon) of every occurrence; ``size`` is the sequence's length, ``tail`` its last three bases.
+    """(tran_id, row, size, tail, pos, codon) of every occurrence; ``row`` tells sequences of one id apart, ``size`` is the
+    sequence's length, ``tail`` its last three bases.
 
     The sequence is split before each codon by one look-ahead expression, so only occurrences become rows, and positions are
     running sums of the pieces' lengths.
@@ -71,12 +77,14 @@ def _hits(transcripts: DataFrame, codons: Sequence[str]) -> DataFrame:
     ahead = "(?=" + "|".join(re.escape(c) for c in dict.fromkeys(codons)) + ")"
     # sequences are dealt out before they are split: the windows need no further exchange, and size and tail are computed once
     whole = transcripts.select("tran_id", "seq", F.length("seq").cast("long").alias("size"), F.substring("seq", -3, 3).alias("tail")).repartition("tran_id")
-    pieces = whole.select("tran_id", "size", "tail", F.posexplode(F.split("seq", ahead)).alias("k", "piece"))
+    # a number per sequence, given where it is split and used in the same task
+    whole = whole.withColumn("row", F.monotonically_increasing_id())
+    pieces = whole.select("tran_id", "row", "size", "tail", F.posexplode(F.split("seq", ahead)).alias("k", "piece"))
     # a codon may run on into the next two pieces, which begin within it
-    window = Window.partitionBy("tran_id").orderBy("k")
+    window = Window.partitionBy("tran_id", "row").orderBy("k")
     at = F.coalesce(F.sum(F.length("piece")).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     text = F.concat("piece", F.coalesce(F.lead("piece", 1).over(window), F.lit("")), F.coalesce(F.lead("piece", 2).over(window), F.lit("")))
-    found = pieces.select("tran_id", "size", "tail", at.alias("pos"), F.substring(text, 1, 3).alias("codon"))
+    found = pieces.select("tran_id", "row", "size", "tail", at.alias("pos"), F.substring(text, 1, 3).alias("codon"))
     return found.where(F.col("codon").isin(*codons))
 
 
@@ -85,16 +93,19 @@ def codon_positions(transcripts: DataFrame, codons: Sequence[str]) -> DataFrame:
     return _hits(transcripts, codons).select("tran_id", "pos", "codon")
 
 
-def find_orfs(transcripts: DataFrame, starts: Sequence[str] = STARTS, stops: Sequence[str] = STOPS, minlen: int = 0, maxlen: int = 1_000_000) -> DataFrame:
-    """One row per start codon, nested ones too: tran_id, start, stop, length, startorf, stoporf.
+def find_orfs(
+    transcripts: DataFrame, starts: Sequence[str] = STARTS, stops: Sequence[str] = STOPS, minlen: int = 0, maxlen: int = 1_000_000, semantics: Semantics = DEFAULT
+) -> DataFrame:
+    """One row per start codon, nested ones too: tran_id, start, stop, length, startorf, stoporf. Sequences that share an id are
+    searched one by one, as each row of ``transcripts`` is a sequence of its own.
 
     ``stop`` is the last base of the first stop codon further on in the frame; without one it is the sequence's length and
     ``stoporf`` its last three bases. ``length`` counts from the start codon's last base; both bounds are exclusive.
     """
     stop = F.when(F.col("codon").isin(*stops), F.struct(F.col("pos").alias("pos"), F.col("codon").alias("codon")))
     # from the 3' end on, the last stop seen is the nearest one downstream
-    behind = Window.partitionBy("tran_id", F.col("pos") % 3).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    hits = _hits(transcripts, [*starts, *stops]).withColumn("next", F.last(stop, ignorenulls=True).over(behind))
+    behind = Window.partitionBy("tran_id", "row", F.col("pos") % 3).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    hits = _hits(normalised(transcripts) if semantics.normalize else transcripts, [*starts, *stops]).withColumn("next", F.last(stop, ignorenulls=True).over(behind))
     orfs = hits.where(F.col("codon").isin(*starts)).select(
         "tran_id", F.col("pos").alias("start"), F.coalesce(F.col("next.pos") + 2, "size").alias("stop"), F.col("codon").alias("startorf"), F.coalesce("next.codon", "tail").alias("stoporf")
     )

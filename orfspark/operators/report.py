@@ -24,10 +24,14 @@ def metagene(orfs: DataFrame, tran_reads: DataFrame, anchor: str = "start", reac
     anchors = orfs.groupBy("tran_id", "type", F.col(anchor).alias("at")).agg(F.count(F.lit(1)).alias("times"))
     near = anchors.withColumn("bin", F.explode(F.array_distinct(F.array(F.floor((F.col("at") - reach) / width), F.floor((F.col("at") + reach) / width)))))
     reads = tran_reads.groupBy("tran_id", F.col(position).alias("pos")).agg(F.sum("counts").alias("counts")).withColumn("bin", F.floor(F.col("pos") / width))
-    pairs = near.join(reads, ["tran_id", "bin"]).withColumn("relativeloc", F.col("pos") - F.col("at")).where(F.col("relativeloc").between(-reach, reach))
+    # anchors without reads stay, as their types have profiles of zeros; sums are by type and distance, so few
+    away = F.col("pos") - F.col("at")
+    pairs = near.join(reads, ["tran_id", "bin"], "left").withColumn("relativeloc", F.when(away.between(-reach, reach), away))
     sums = pairs.groupBy("type", "relativeloc").agg(F.sum(F.col("counts") * F.col("times")).alias("counts"))
-    spine = orfs.select("type").distinct().withColumn("relativeloc", F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"))))
-    return spine.join(sums, ["type", "relativeloc"], "left").withColumn("counts", F.coalesce("counts", F.lit(0.0)))
+    known = F.collect_list(F.when(F.col("relativeloc").isNotNull(), F.struct("relativeloc", "counts")))
+    by_type = sums.groupBy("type").agg(F.map_from_entries(known).alias("known"))
+    spine = by_type.withColumn("relativeloc", F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"))))
+    return spine.select("type", "relativeloc", F.coalesce(F.col("known")[F.col("relativeloc")], F.lit(0.0)).alias("counts"))
 
 
 def transcript_profile(transcripts: DataFrame, tran_reads: DataFrame) -> DataFrame:

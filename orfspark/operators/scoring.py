@@ -31,35 +31,44 @@ def coverage_to_transcript(coverage: DataFrame, exons: DataFrame, semantics: Sem
     return pairs.select("tran_id", (F.col("__first") + lead).alias("tran_start"), (F.col("__last") - tail).alias("tran_stop"), "counts")
 
 
-def _sums(anchors: DataFrame, keys: list[str], points: list[tuple[str, Column, Column]], tran_reads: DataFrame) -> DataFrame:
-    """``anchors`` with, for each (name, frame, position), the reads of that frame up to the position: ``name``.total and ``name``.rows.
+def _at_places(anchors: DataFrame, places: dict[str, Column], tran_reads: DataFrame, reach: int = 0, frames: bool = False) -> DataFrame:
+    """``anchors`` with what reads say at each of the named ``places``; rows that repeat come back once.
 
-    Reads and questions are merged by position and one running sum per transcript and frame answers all of them, so the work
-    grows with reads plus questions, not with their product on a transcript.
+    ``covered``: whether the transcript has reads. With ``reach``: {place}_before and {place}_after, the reads in the place's
+    frame on the ``reach`` positions before and ``reach`` + 2 after it. With ``frames``: {place}_f0 to f2, the reads of each frame up
+    to the place, {place}_n and {place}_n0, the rows with reads and those of frame 0; a place named "start" is itself left out.
+
+    Reads and places are merged by position, and windows over positions answer all of them in one sort: the work grows with
+    reads plus places, not with their product on a transcript. Both sides are read once and dealt once, by transcript, whose
+    reads by position and open reading frames are no more than its bases.
     """
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.pmod(f, F.lit(3)).cast("int").alias("frame"), p.cast("long").alias("at")) for n, f, p in points))).alias("q")
-    asked = anchors.select(*keys, each).select(*keys, "q.frame", "q.at", "q.name", F.lit(None).cast("double").alias("counts"))
+    keys = anchors.columns
+    struct = lambda i, p: F.struct(F.lit(i).cast("byte").alias("place"), p.cast("long").alias("at"))
+    each = F.explode(F.array(*(struct(i, p) for i, p in enumerate(places.values())))).alias("q")
+    asked = anchors.select(*keys, each).select(*keys, "q.place", "q.at", F.lit(None).cast("double").alias("counts"))
     nothing = [F.lit(None).cast(anchors.schema[k].dataType).alias(k) for k in keys if k != "tran_id"]
-    reads = tran_reads.select("tran_id", *nothing, F.pmod("tran_start", F.lit(3)).cast("int").alias("frame"), F.col("tran_start").alias("at"), F.lit(None).cast("string").alias("name"), "counts")
-    merged = asked.unionByName(reads)
-    # reads come before questions of their own position
-    order = Window.partitionBy("tran_id", "frame").orderBy("at", F.col("name").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.coalesce(F.sum("counts").over(order), F.lit(0.0))
-    rows = F.count(F.when(F.col("counts") > 0, 1)).over(order)
-    answered = merged.withColumn("sum", F.struct(total.alias("total"), rows.alias("rows"))).where("name is not null")
-    return answered.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == n, F.col("sum"))).alias(n) for n, _, _ in points))
-
-
-def _flank_points(name: str, anchor: Column, reach: int) -> list[tuple[str, Column, Column]]:
-    """Bounds of the positions in the anchor's frame before it and after it; the far end reaches two bases further."""
-    bounds = {"a": anchor - reach - 1, "b": anchor - 1, "c": anchor, "d": anchor + reach + 2}
-    return [(f"{name}_{k}", anchor, p) for k, p in bounds.items()]
-
-
-def _flanks(name: str) -> tuple[Column, Column]:
-    before = F.col(f"{name}_b.total") - F.col(f"{name}_a.total")
-    after = F.col(f"{name}_d.total") - F.col(f"{name}_c.total")
-    return before, after
+    reads = tran_reads.select("tran_id", *nothing, F.lit(None).cast("byte").alias("place"), F.col("tran_start").alias("at"), "counts")
+    merged = asked.unionByName(reads).repartition("tran_id")
+    by_place = Window.partitionBy("tran_id").orderBy("at")
+    frame = F.pmod("at", F.lit(3))
+    columns = {"covered": F.max(F.col("place").isNull()).over(by_place.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing))}
+    of_frame = lambda k, window: F.coalesce(F.sum(F.when(frame == k, F.col("counts"))).over(window), F.lit(0.0))
+    if reach:
+        for side, window in (("before", by_place.rangeBetween(-reach, -1)), ("after", by_place.rangeBetween(1, reach + 2))):
+            columns[side] = F.when(frame == 0, of_frame(0, window)).when(frame == 1, of_frame(1, window)).otherwise(of_frame(2, window))
+    if frames:
+        some = F.col("counts") > 0
+        for name, last in (("outside", -1), ("inside", 0)):
+            window = by_place.rangeBetween(Window.unboundedPreceding, last)
+            columns |= {f"{name}_f{k}": of_frame(k, window) for k in range(3)}
+            columns |= {f"{name}_n": F.count_if(some).over(window), f"{name}_n0": F.count_if(some & (frame == 0)).over(window)}
+    answered = merged.withColumns(columns).where("place is not null")
+    # plain numbers, one row per place, so that they are gathered in hash maps
+    gathered = []
+    for i, name in enumerate(places):
+        found = {k: k for k in ("before", "after") if reach} | {k: f"{'outside' if name == 'start' else 'inside'}_{k}" for k in ("f0", "f1", "f2", "n", "n0") if frames}
+        gathered += [F.max(F.when(F.col("place") == i, F.col(c))).alias(f"{name}_{k}") for k, c in found.items()]
+    return answered.groupBy(*keys, "covered").agg(*gathered)
 
 
 def sru_scores(anchors: DataFrame, tran_reads: DataFrame, reach: int = 15, invert: bool = False) -> DataFrame:
@@ -67,25 +76,23 @@ def sru_scores(anchors: DataFrame, tran_reads: DataFrame, reach: int = 15, inver
 
     Reads are of the ``reach`` bases before and ``reach`` + 2 after; the anchor itself is left out.
     """
-    anchors = anchors.select("tran_id", "anchor").distinct()
-    summed = _sums(anchors, ["tran_id", "anchor"], _flank_points("s", F.col("anchor"), reach), tran_reads)
-    before, after = _flanks("s")
+    summed = _at_places(anchors.select("tran_id", "anchor"), {"anchor": F.col("anchor")}, tran_reads, reach)
+    before, after = F.col("anchor_before"), F.col("anchor_after")
     return summed.select("tran_id", "anchor", (log_ratio(before, after) if invert else log_ratio(after, before)).alias("sru"))
 
 
-def _frame_points() -> list[tuple[str, Column, Column]]:
-    return [(f"f{k}_{side}", F.lit(k), p) for k in range(3) for side, p in (("a", F.col("start") - 1), ("b", F.col("stop")))]
+def _ends() -> dict[str, Column]:
+    return {name: F.col(name) for name in ("start", "stop")}
 
 
 def _frame_scores() -> dict[str, Column]:
-    f = [F.col(f"f{k}_b.total") - F.col(f"f{k}_a.total") for k in range(3)]
-    n = [F.col(f"f{k}_b.rows") - F.col(f"f{k}_a.rows") for k in range(3)]
-    rows = n[0] + n[1] + n[2]
+    f = [F.col(f"stop_f{k}") - F.col(f"start_f{k}") for k in range(3)]
+    rows, first = (F.col(f"stop_{n}") - F.col(f"start_{n}") for n in ("n", "n0"))
     codons = (F.col("stop") - F.col("start")) / F.lit(3.0)
     return {
         "hrf": F.when((f[1] != 0) & (f[2] != 0), F.try_divide(f[0], F.greatest(f[1], f[2]))).otherwise(0.0),
         "avg": F.when(f[0] != 0, F.try_divide(f[0], codons)).otherwise(0.0),
-        "nzc": F.when(rows > 0, F.try_divide(n[0].cast("double"), rows)).otherwise(0.0),
+        "nzc": F.when(rows > 0, F.try_divide(first.cast("double"), rows)).otherwise(0.0),
     }
 
 
@@ -95,8 +102,7 @@ def frame_scores(orfs: DataFrame, tran_reads: DataFrame) -> DataFrame:
     hrf: reads in frame 0 over the larger of frames 1 and 2 (0 unless both have reads). avg: reads in frame 0 a codon.
     nzc: the share of frame 0 among positions with reads. Frames count from the transcript's first base.
     """
-    ranges = orfs.select("tran_id", "start", "stop").distinct()
-    summed = _sums(ranges, ["tran_id", "start", "stop"], _frame_points(), tran_reads)
+    summed = _at_places(orfs.select("tran_id", "start", "stop"), _ends(), tran_reads, frames=True)
     return summed.select("tran_id", "start", "stop", *(c.alias(n) for n, c in _frame_scores().items()))
 
 
@@ -106,14 +112,15 @@ def score_orfs(orfs: DataFrame, tran_reads: DataFrame, sru_range: int = 15, sema
     uoORFs have no step-down and doORFs no rise-up: both are 0 there. With ``type_specific`` those two types have only the
     one, other types only the frame scores, and what a type lacks is null.
     """
-    keys = ["tran_id", "start", "stop"]
-    covered = tran_reads.select("tran_id").distinct()
-    live = orfs.join(covered, "tran_id", "left_semi")
-    points = [*_flank_points("up", F.col("start"), sru_range), *_flank_points("down", F.col("stop"), sru_range), *_frame_points()]
-    summed = _sums(live.select(*keys).distinct(), keys, points, tran_reads)
-    (up_before, up_after), (down_before, down_after) = _flanks("up"), _flanks("down")
-    found = summed.select(*keys, log_ratio(up_after, up_before).alias("rise_up"), log_ratio(down_before, down_after).alias("step_down"), *(c.alias(n) for n, c in _frame_scores().items()))
-    scored = orfs.join(found, keys, "left" if semantics.keep_unscored else "inner")
+    # rows that repeat are answered once and given back as often as they stand
+    different = orfs.groupBy(*orfs.columns).agg(F.count(F.lit(1)).cast("int").alias("__times"))
+    summed = _at_places(different, _ends(), tran_reads, sru_range, frames=True)
+    rise, drop = (log_ratio(F.col(a), F.col(b)) for a, b in (("start_after", "start_before"), ("stop_before", "stop_after")))
+    found = {"rise_up": rise, "step_down": drop} | _frame_scores()
+    scored = summed.select(*orfs.columns, "__times", "covered", *(F.when(F.col("covered"), c).alias(n) for n, c in found.items()))
+    if not semantics.keep_unscored:
+        scored = scored.where("covered")
+    scored = scored.withColumn("__times", F.explode(F.array_repeat(F.lit(1), F.col("__times"))))
     upstream, downstream = F.col("type") == "uoORF", F.col("type") == "doORF"
     if semantics.type_specific:
         none = F.lit(None).cast("double")

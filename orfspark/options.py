@@ -17,6 +17,8 @@ class Semantics:
     keep_unscored: keep ORFs on transcripts without coverage, with null scores.
     type_specific: score uORF overlaps by rise-up only, dORF overlaps by step-down only, others by frame only.
     last_position_only: evaluate the change point only at the last position of the scanned range.
+    normalize: read sequences in upper case, with T for U.
+    dedupe_reads: count a read once at each A-site, however many transcripts have it there.
     offset_sign: 1 adds a read length's offset to its start, -1 subtracts it.
     """
 
@@ -28,6 +30,8 @@ class Semantics:
     keep_unscored: bool = False
     type_specific: bool = False
     last_position_only: bool = False
+    normalize: bool = False
+    dedupe_reads: bool = False
     offset_sign: int = 1
 
 

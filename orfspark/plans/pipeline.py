@@ -14,6 +14,7 @@ from ..operators import reads as rd
 from ..operators import report as rp
 from ..operators import scoring as sc
 from ..options import DEFAULT, Semantics
+from ..session import written
 from ..sources import report as page
 from ..sources.bam import read_bam
 from ..sources.bigwig import is_bigwig, read_bigwig, write_bigwig
@@ -35,12 +36,16 @@ def load_annotation(spark: SparkSession, path: str, transcripts: DataFrame | Non
 
 def coverage_of_reads(reads: DataFrame, known: Annotation, offsets: DataFrame | None = None, semantics: Semantics = DEFAULT) -> DataFrame:
     """A-site coverage (chr, A-site, stop, count) of aligned reads; offsets are estimated if none are given."""
-    placed = rd.reads_to_cds(rd.reads_to_transcript(rd.normalize_reads(reads), known.exons, semantics), known.cds)
-    return rd.asite_coverage(placed, offsets if offsets is not None else rd.estimate_offsets(placed, semantics), semantics)
+    placed = rd.reads_to_cds(rd.reads_to_transcript(rd.normalize_reads(reads, semantics=semantics), known.exons, semantics), known.cds)
+    if offsets is None:
+        # offsets need all reads before coverage can begin
+        placed = written(rd.read_sites(placed), "sites")
+        offsets = rd.estimate_offsets(placed, semantics)
+    return rd.asite_coverage(placed, offsets, semantics)
 
 
 def typed_orfs(transcripts: DataFrame, cds: DataFrame, starts: Sequence[str] = of.STARTS, stops: Sequence[str] = of.STOPS, minlen: int = 0, maxlen: int = 1_000_000, semantics: Semantics = DEFAULT) -> DataFrame:
-    return of.classify_orfs(of.find_orfs(transcripts, starts, stops, minlen, maxlen), cds, semantics)
+    return of.classify_orfs(of.find_orfs(transcripts, starts, stops, minlen, maxlen, semantics), cds, semantics)
 
 
 def read_coverage(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from .fixtures import ctes, table
 from .functions import transcript_id
 from .operators import annotation, intervals, orfs, reads, report, scoring
 from .options import Semantics
+from .session import written
 
 _FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -180,7 +181,7 @@ def _read_cds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _coverage(spark: SparkSession, d: str) -> DataFrame:
-    placed = _read_cds(spark, d)
+    placed = written(reads.read_sites(_read_cds(spark, d)), "sites")
     sites = reads.asite_coverage(placed, reads.estimate_offsets(placed))
     return sites.select("chr", F.col("A-site").alias("start"), "stop", F.col("count").cast("double").alias("value"))
 
@@ -189,8 +190,13 @@ def _tran_reads(spark: SparkSession, d: str) -> DataFrame:
     return scoring.coverage_to_transcript(_coverage(spark, d), _exons(spark, d))
 
 
+def _covered(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage on transcripts, written before it is scored, as a run writes its coverage before it scores with it."""
+    return written(_tran_reads(spark, d), "covered")
+
+
 def _scored(spark: SparkSession, d: str, semantics: Semantics = Semantics()) -> DataFrame:
-    return scoring.score_orfs(_typed(spark, d), _tran_reads(spark, d), semantics=semantics)
+    return scoring.score_orfs(_typed(spark, d), _covered(spark, d), semantics=semantics)
 
 
 def _nine(df: DataFrame, *columns: str) -> DataFrame:
@@ -333,7 +339,7 @@ def change_point_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("asite_coverage", ("ex", "cdsg", "rd"), [*_MAPPED, _OFFSETS, _COVERAGE], 'SELECT chr, start AS "A-site", stop, CAST(value AS BIGINT) AS count FROM coverage')
 def asite_coverage(spark: SparkSession, d: str) -> DataFrame:
-    placed = _read_cds(spark, d)
+    placed = written(reads.read_sites(_read_cds(spark, d)), "sites")
     return reads.asite_coverage(placed, reads.estimate_offsets(placed))
 
 
@@ -347,21 +353,21 @@ def coverage_to_transcript(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("sru_rise_up", _ALL, [*_COVERED, *_TYPES, _SUMS], "SELECT DISTINCT tran_id, start AS anchor, round(rise_up, 9) AS sru FROM parts")
 def sru_rise_up(spark: SparkSession, d: str) -> DataFrame:
-    covered = _tran_reads(spark, d)
+    covered = _covered(spark, d)
     live = _typed(spark, d).join(covered.select("tran_id").distinct(), "tran_id", "left_semi")
     return _nine(scoring.sru_scores(live.select("tran_id", F.col("start").alias("anchor")), covered), "sru")
 
 
 @_query("sru_step_down", _ALL, [*_COVERED, *_TYPES, _SUMS], "SELECT DISTINCT tran_id, stop AS anchor, round(step_down, 9) AS sru FROM parts")
 def sru_step_down(spark: SparkSession, d: str) -> DataFrame:
-    covered = _tran_reads(spark, d)
+    covered = _covered(spark, d)
     live = _typed(spark, d).join(covered.select("tran_id").distinct(), "tran_id", "left_semi")
     return _nine(scoring.sru_scores(live.select("tran_id", F.col("stop").alias("anchor")), covered, invert=True), "sru")
 
 
 @_query("frame_scores", _ALL, [*_COVERED, *_TYPES, _SUMS], "SELECT tran_id, start, stop, round(hrf, 9) AS hrf, round(avg, 9) AS avg, round(nzc, 9) AS nzc FROM parts")
 def frame_scores(spark: SparkSession, d: str) -> DataFrame:
-    covered = _tran_reads(spark, d)
+    covered = _covered(spark, d)
     live = _typed(spark, d).join(covered.select("tran_id").distinct(), "tran_id", "left_semi")
     return _nine(scoring.frame_scores(live, covered), "hrf", "avg", "nzc")
 
@@ -402,19 +408,20 @@ SELECT s.type, s.relativeloc, coalesce(c.counts, 0.0) AS counts FROM
 
 @_query("metagene_start", _ALL, [*_COVERED, *_TYPES], _metagene_sql("start", "tran_start"))
 def metagene_start(spark: SparkSession, d: str) -> DataFrame:
-    return report.metagene(_typed(spark, d), _tran_reads(spark, d), "start")
+    return report.metagene(_typed(spark, d), _covered(spark, d), "start")
 
 
 @_query("metagene_stop", _ALL, [*_COVERED, *_TYPES], _metagene_sql("stop", "tran_stop"))
 def metagene_stop(spark: SparkSession, d: str) -> DataFrame:
-    return report.metagene(_typed(spark, d), _tran_reads(spark, d), "stop")
+    return report.metagene(_typed(spark, d), _covered(spark, d), "stop")
 
 
 @_query("transcript_profile", _ALL, [*_COVERED, *_TYPES, _SUMS, _SCORED], f"""
 SELECT tran_id, tran_start, CAST(tran_start % 3 AS INTEGER) AS frame, sum(counts) AS counts FROM tran_reads
 WHERE tran_id IN (SELECT tran_id FROM ({_RANKED}) WHERE rank <= 10) GROUP BY tran_id, tran_start""")
 def transcript_profile(spark: SparkSession, d: str) -> DataFrame:
-    return report.transcript_profile(top10_per_type(spark, d), _tran_reads(spark, d))
+    covered = _covered(spark, d)
+    return report.transcript_profile(report.top_orfs(_nine(scoring.score_orfs(_typed(spark, d), covered), *_SCORED_COLUMNS)), covered)
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:

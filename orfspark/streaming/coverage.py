@@ -14,5 +14,7 @@ from ..options import DEFAULT, Semantics
 
 def coverage_stream(reads: DataFrame, exons: DataFrame, cds: DataFrame, offsets: DataFrame, semantics: Semantics = DEFAULT) -> DataFrame:
     """A-site counts (chr, A-site, stop, count) of streaming ``reads(qname, rname, pos, end)``, for update or complete mode."""
+    if semantics.dedupe_reads:
+        raise ValueError("a stream keeps counts by A-site only, not the reads seen there")
     placed = rd.reads_to_cds(rd.reads_to_transcript(rd.normalize_reads(reads), exons, semantics), cds)
     return rd.asite_coverage(placed, offsets, semantics)
