@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--range_param", "-rp", type=int, default=30, help="reach of metagene profiles")
     p.add_argument("--sru_range", "-sru", type=int, default=15, help="reach of the rise-up and step-down scores")
     p.add_argument("--scoretype", "-st", action="store_true", help="score each type by its own statistics only")
+    p.add_argument("--parts", action="store_true", help="write folders of parts, not single files")
     return p
 
 

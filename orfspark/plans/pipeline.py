@@ -81,46 +81,46 @@ def run(
     spark: SparkSession, *, bam: str | None = None, chromsize: str | None = None, seq: str | None = None, tran: str | None = None, ann: str | None = None,
     starts: str = "ATG", stops: str = "TAA,TAG,TGA", minlen: int = 0, maxlen: int = 1_000_000, bigwig: str | None = None, exon: str | None = None,
     bedfile: str | None = None, orfs: str | None = None, range_param: int = rp.RANGE, sru_range: int = 15, offsets: str | dict[int, int] | None = None,
-    scoretype: bool = False, plotfile: str | None = None, outfilename: str | None = None, semantics: Semantics | None = None,
+    scoretype: bool = False, plotfile: str | None = None, outfilename: str | None = None, parts: bool = False, semantics: Semantics | None = None,
 ) -> dict[str, str]:
     """Run what the inputs ask for and return the paths written, by kind.
 
     ``bam`` + ``ann``: coverage as bedGraph, and as BigWig with ``chromsize``. ``bedfile`` + ``chromsize``: BigWig.
     ``seq`` or ``tran`` + ``ann``: ORFs and exons, and with coverage (``bigwig``, ``bedfile`` or ``bam``) scores and report.
     ``orfs`` + ``exon`` + coverage: scores and report. ``plotfile`` + ``exon`` + coverage: report. ``outfilename`` leads all
-    paths. ``scoretype`` scores each type by its own statistics only.
+    paths, and each output is one file, or with ``parts`` a folder of them. ``scoretype`` scores each type by its own statistics only.
     """
-    given = {k: v for k, v in locals().items() if k not in ("spark", "semantics") and v is not None}
+    given = {k: v for k, v in locals().items() if k not in ("spark", "semantics", "parts") and v is not None}
     semantics = semantics or Semantics(type_specific=scoretype)
     if not outfilename:
         raise ValueError("outfilename is needed")
     if not (bam and ann or bedfile and chromsize or (seq or tran) and ann or orfs and exon and (bigwig or bedfile) or plotfile and exon and (bigwig or bedfile)):
         raise ValueError("give bam and ann; bedfile and chromsize; seq or tran and ann; orfs, exon and bigwig; or plotfile, exon and bigwig")
-    written: dict[str, str] = {}
+    paths: dict[str, str] = {}
     coverage = None
     if bam:
         known = load_annotation(spark, ann)
         sites = coverage_of_reads(read_bam(spark, bam), known, read_offsets(spark, offsets) if offsets else None, semantics)
-        written["bedgraph"] = f"{outfilename}.bedGraph"
-        write_bedgraph(sites, written["bedgraph"])
-        bedfile = written["bedgraph"]
+        paths["bedgraph"] = f"{outfilename}.bedGraph"
+        write_bedgraph(sites, paths["bedgraph"], parts)
+        bedfile = paths["bedgraph"]
     if bigwig:
         coverage = read_coverage(spark, bigwig)
     elif bedfile:
         coverage = read_bedgraph(spark, bedfile)
         if chromsize:
-            written["bigwig"] = write_bigwig(coverage, read_sizes(spark, chromsize), f"{outfilename}.bw")
+            paths["bigwig"] = write_bigwig(coverage, read_sizes(spark, chromsize), f"{outfilename}.bw")
     scored, exons = None, None
     if seq or tran:
         known = load_annotation(spark, ann)
         if seq:
-            written["transcripts"] = f"{outfilename}_transcripts.fa"
-            write_fasta(of.spliced_transcripts(read_genome(spark, seq), known.exons), written["transcripts"])
-        transcripts = read_fasta(spark, written.get("transcripts") or tran)
+            paths["transcripts"] = f"{outfilename}_transcripts.fa"
+            write_fasta(of.spliced_transcripts(read_genome(spark, seq), known.exons), paths["transcripts"], parts)
+        transcripts = read_fasta(spark, paths.get("transcripts") or tran)
         exons = known.exons.join(transcripts.select("tran_id").distinct(), "tran_id", "left_semi")
         found = typed_orfs(transcripts, known.cds, starts.split(","), stops.split(","), minlen, maxlen, semantics)
-        written["orfs"], written["exons"] = write_orfs_and_exons(found, exons, outfilename)
-        found = read_orfs(spark, written["orfs"])
+        paths["orfs"], paths["exons"] = write_orfs_and_exons(found, exons, outfilename, parts)
+        found = read_orfs(spark, paths["orfs"])
     elif orfs or plotfile:
         exons = read_exons(spark, exon)
         found = read_orfs(spark, orfs) if orfs else None
@@ -128,8 +128,8 @@ def run(
         if plotfile and not orfs:
             scored = read_scored(spark, plotfile)
         else:
-            written["scored"] = f"{outfilename}_orfs_scored.csv"
-            write_table(sc.score_orfs(found, sc.coverage_to_transcript(coverage, exons, semantics), sru_range, semantics).orderBy(F.desc("score"), "tran_id", "start"), written["scored"])
-            scored = read_scored(spark, written["scored"])
-        written["report"] = write_report(scored, coverage, exons, given, f"{outfilename}_report.html", range_param, semantics)
-    return written
+            paths["scored"] = f"{outfilename}_orfs_scored.csv"
+            write_table(sc.score_orfs(found, sc.coverage_to_transcript(coverage, exons, semantics), sru_range, semantics).orderBy(F.desc("score"), "tran_id", "start"), paths["scored"], parts)
+            scored = read_scored(spark, paths["scored"])
+        paths["report"] = write_report(scored, coverage, exons, given, f"{outfilename}_report.html", range_param, semantics)
+    return paths

@@ -6,19 +6,23 @@ ranges on ``start`` and ``stop`` reach the index: blocks that cannot match are n
 
 from __future__ import annotations
 
+import os
 import struct
+import tempfile
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import schema
-from .files import expand, opened
+from .files import expand, local, opened
 
 #: Magic numbers of the format.
 MAGIC, CONTIG_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
@@ -183,32 +187,49 @@ def read_bigwig(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("bigwig").load(path)
 
 
-@dataclass
-class _Writer:
-    """Sections as they come, in order of contig and start."""
-
-    file: object
-    numbers: dict[str, int]
-    blocks: list[tuple[int, int, int, int, int]] = field(default_factory=list)  # contig, start, stop, place, size
-    covered: int = 0
-    low: float = float("inf")
-    high: float = float("-inf")
-    total: float = 0.0
-    squares: float = 0.0
-    largest: int = 0
-
-    def section(self, name: str, rows: list[tuple[int, int, float]]) -> None:
-        n = self.numbers[name]
-        data = struct.pack("<IIIIIBBH", n, rows[0][0], rows[-1][1], 0, 0, 1, 0, len(rows)) + b"".join(struct.pack("<IIf", *r) for r in rows)
-        packed = zlib.compress(data)
-        self.blocks.append((n, rows[0][0], rows[-1][1], self.file.tell(), len(packed)))
-        self.file.write(packed)
-        self.largest = max(self.largest, len(data))
-        for a, b, v in rows:
-            self.covered += b - a
-            self.low, self.high = min(self.low, v), max(self.high, v)
-            self.total += v * (b - a)
-            self.squares += v * v * (b - a)
+#: A section as executors make it: place in the order, contig, bounds, compressed items, and what the file's summary needs of it.
+_SECTION = "chr string, start long, stop long, packed binary, size int, covered long, low double, high double, total double, squares double"
+
+
+def _sections(batches: Iterator[pa.RecordBatch], items: int) -> Iterator[pa.RecordBatch]:
+    """Rows (chr, start, stop, value) in order, cut into sections of one contig and at most ``items`` rows each; the contig's number
+    is filled in later."""
+    held: pa.Table | None = None
+
+    def packed(part: pa.Table) -> tuple:
+        start, stop = (part.column(i).to_numpy().astype(np.int64) for i in (1, 2))
+        value = part.column(3).to_numpy().astype("<f4")
+        triples = np.empty((len(part), 3), "<u4")
+        triples[:, 0], triples[:, 1], triples[:, 2] = start, stop, value.view("<u4")
+        span, exact = stop - start, part.column(3).to_numpy().astype(np.float64)
+        return part.column(0)[0].as_py(), int(start[0]), int(stop.max()), triples.tobytes(), len(part), int(span.sum()), float(exact.min()), float(exact.max()), float((exact * span).sum()), float((exact**2 * span).sum())
+
+    def cut(table: pa.Table, last: bool) -> tuple[list[tuple], pa.Table]:
+        names = table.column(0).combine_chunks()
+        coded = pc.run_end_encode(names) if len(names) else None
+        ends = coded.run_ends.to_pylist() if coded is not None else []
+        out, begin = [], 0
+        for k, end in enumerate(ends):
+            while end - begin >= items or (end > begin and (last or k < len(ends) - 1)):
+                out.append(packed(table.slice(begin, min(items, end - begin)).combine_chunks()))
+                begin = min(begin + items, end)
+        return out, table.slice(begin)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), *[pa.float64()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in _SECTION.split(", ")])
+
+    for given in batches:
+        table = pa.Table.from_batches([given])
+        held = pa.concat_tables([held, table]) if held is not None and len(held) else table
+        rows, held = cut(held, False)
+        if rows:
+            yield batch(rows)
+    if held is not None:
+        rows, _ = cut(held, True)
+        if rows:
+            yield batch(rows)
 
 
 def _tree(blocks: list[tuple[int, int, int, int, int]], at: int) -> bytes:
@@ -242,13 +263,26 @@ def _tree(blocks: list[tuple[int, int, int, int, int]], at: int) -> bytes:
 def write_bigwig(coverage: DataFrame, sizes: DataFrame | dict[str, int], path: str) -> str:
     """Write coverage(chr, start, stop, value) as one BigWig file and return its path.
 
-    Rows stream to the driver in order, a partition at a time; only index entries are kept. Contigs that ``sizes`` lacks are
-    an error. No zoom levels are written.
+    Executors sort the rows and cut them into sections; these come to the driver in order, a partition at a time, and only
+    their index entries are kept. Contigs that ``sizes`` lacks are an error. No zoom levels are written. A file in a store is
+    written here first, as its head is known last, and then copied.
     """
+    from ..session import ship
+
+    spark = coverage.sparkSession
+    ship(spark)
     known = sizes if isinstance(sizes, dict) else {r.chr: r.size for r in sizes.collect()}
     names = sorted(known)
-    columns = coverage.columns[:4]
-    rows = coverage.select(*columns).orderBy(*columns[:2]).toLocalIterator()
+    number = {n: i for i, n in enumerate(names)}
+    chrom, start, stop, value = (F.col(f"`{c}`") for c in coverage.columns[:4])
+    ordered = coverage.select(chrom.alias("chr"), start.cast("long").alias("start"), stop.cast("long").alias("stop"), value.cast("double").alias("value")).orderBy("chr", "start")
+    target, path = path, local(path)
+    remote = "://" in path
+    if remote:
+        handle, path = tempfile.mkstemp(suffix=".bw")
+        os.close(handle)
+    blocks: list[tuple[int, int, int, int, int]] = []  # contig, start, stop, place, size
+    covered, low, high, total, squares, largest = 0, float("inf"), float("-inf"), 0.0, 0.0, 0
     with open(path, "wb") as f:
         f.write(b"\0" * 64)
         summary = f.tell()
@@ -260,28 +294,27 @@ def write_bigwig(coverage: DataFrame, sizes: DataFrame | dict[str, int], path: s
             f.write(n.encode().ljust(key, b"\0") + struct.pack("<II", i, known[n]))
         full = f.tell()
         f.write(b"\0" * 8)
-        out = _Writer(f, {n: i for i, n in enumerate(names)})
-        held: list[tuple[int, int, float]] = []
-        last = None
-        for chrom, start, stop, value in rows:
-            if chrom not in known:
-                raise ValueError(f"no size is given for {chrom}")
-            if held and (chrom != last or len(held) == _ITEMS):
-                out.section(last, held)
-                held = []
-            held.append((start, stop, float(value)))
-            last = chrom
-        if held:
-            out.section(last, held)
+        for s in ordered.mapInArrow(lambda b, items=_ITEMS: _sections(b, items), _SECTION).toLocalIterator():
+            if s.chr not in number:
+                raise ValueError(f"no size is given for {s.chr}")
+            data = struct.pack("<IIIIIBBH", number[s.chr], s.start, s.stop, 0, 0, 1, 0, s.size) + bytes(s.packed)
+            out = zlib.compress(data)
+            blocks.append((number[s.chr], s.start, s.stop, f.tell(), len(out)))
+            f.write(out)
+            largest, covered, total, squares = max(largest, len(data)), covered + s.covered, total + s.total, squares + s.squares
+            low, high = min(low, s.low), max(high, s.high)
         index = f.tell()
-        boxes = out.blocks or [(0, 0, 0, full, 0)]
-        f.write(struct.pack("<IIQIIIIQII", INDEX_MAGIC, _FANOUT, len(out.blocks), boxes[0][0], boxes[0][1], boxes[-1][0], boxes[-1][2], index, _ITEMS, 0))
-        f.write(_tree(out.blocks, f.tell()))
+        boxes = blocks or [(0, 0, 0, full, 0)]
+        f.write(struct.pack("<IIQIIIIQII", INDEX_MAGIC, _FANOUT, len(blocks), boxes[0][0], boxes[0][1], boxes[-1][0], boxes[-1][2], index, _ITEMS, 0))
+        f.write(_tree(blocks, f.tell()))
         f.write(struct.pack("<I", MAGIC))
         f.seek(full)
-        f.write(struct.pack("<Q", len(out.blocks)))
+        f.write(struct.pack("<Q", len(blocks)))
         f.seek(summary)
-        f.write(struct.pack("<Qdddd", out.covered, out.low if out.blocks else 0, out.high if out.blocks else 0, out.total, out.squares))
+        f.write(struct.pack("<Qdddd", covered, low if blocks else 0, high if blocks else 0, total, squares))
         f.seek(0)
-        f.write(struct.pack("<IHHQQQHHQQIQ", MAGIC, 4, 0, contigs, full, index, 0, 0, 0, summary, max(out.largest, 1), 0))
-    return path
+        f.write(struct.pack("<IHHQQQHHQQIQ", MAGIC, 4, 0, contigs, full, index, 0, 0, 0, summary, max(largest, 1), 0))
+    if remote:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        place(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, place(f"file://{path}"), place(target))
+    return target

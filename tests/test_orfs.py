@@ -47,6 +47,20 @@ def test_dense_codons(spark, seqs):
     assert found(spark, seqs) == [brute(s) for s in seqs]
 
 
+def test_sequences_that_share_an_id(spark):
+    seqs = [SEQUENCE, "CATGATAATGACC", SEQUENCE, "ATG"]
+    rows = of.find_orfs(spark.createDataFrame([("T1", s) for s in seqs], "tran_id string, seq string")).collect()
+    assert sorted((r.start, r.stop, r.length, r.startorf, r.stoporf) for r in rows) == sorted(x for s in seqs for x in brute(s))
+    got = of.codon_positions(spark.createDataFrame([("T1", s) for s in seqs], "tran_id string, seq string"), ["ATG"]).collect()
+    assert sorted(r.pos for r in got) == sorted(i for s in seqs for i in range(len(s)) if s[i : i + 3] == "ATG")
+
+
+def test_normalised_sequences(spark):
+    df = spark.createDataFrame([("a", SEQUENCE.lower().replace("t", "u"))], "tran_id string, seq string")
+    assert of.find_orfs(df).collect() == []
+    assert sorted((r.start, r.stop) for r in of.find_orfs(df, semantics=Semantics(normalize=True)).collect()) == sorted(x[:2] for x in brute(SEQUENCE))
+
+
 def test_bounds_are_exclusive(spark):
     assert [r[2] for r in found(spark, [SEQUENCE], minlen=9, maxlen=33)[0]] == [15]
 

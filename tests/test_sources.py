@@ -1,3 +1,7 @@
+import gzip
+import os
+import random
+
 import pytest
 
 from orfspark import cli
@@ -41,6 +45,51 @@ def test_bam_round_trip(spark, files):
     assert bam.read_bam(spark, f"{path}/*.bam").count() == len(reads)
 
 
+@pytest.mark.parametrize("split", [700, 5_000, 70_000, 1 << 30])
+def test_bam_in_ranges(spark, tmp_path, split):
+    """Every record is in one range, wherever ranges begin; blocks are small and records run over their ends."""
+    rng = random.Random(split)
+    rows = [(f"r{i}_{'q' * rng.randint(0, 60)}_x1", rng.choice("12"), rng.randint(1, 900), 0) for i in range(6000)]
+    rows = [(q, r, p, p + rng.randint(0, 80)) for q, r, p, _ in rows]
+    content, bam.CONTENT = bam.CONTENT, 997
+    try:
+        bam.write_bam(str(tmp_path / "a.bam"), [("1", 1000), ("2", 1000)], rows)
+    finally:
+        bam.CONTENT = content
+    size, path = (tmp_path / "a.bam").stat().st_size, str(tmp_path / "a.bam")
+    found = []
+    for at in range(0, size, split):
+        with open(path, "rb") as f:
+            found += list(bam.records_of_range(f, at, min(at + split, size), ["1", "2"]))
+    assert found == rows
+    assert sorted(map(tuple, bam.read_bam(spark, path, max(split, 5_000)).collect())) == sorted(rows)
+    # a plain gzip file has no block sizes, so it is one partition; a store's URI works like a path
+    with gzip.open(path) as f:
+        (tmp_path / "b.bam").write_bytes(gzip.compress(f.read()))
+    assert sorted(map(tuple, bam.read_bam(spark, f"file://{tmp_path}/b.bam", split).collect())) == sorted(rows)
+
+
+def test_fasta_headers_and_ids(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("\n>T1|x desc a>b\nACG\nT\n>T1 c.1A>G\r\nGG\r\n>T2\n\n>T3|y\nA")
+    assert [tuple(r) for r in text.read_fasta(spark, str(tmp_path / "a.fa")).collect()] == [("T1", "ACGT"), ("T1", "GG"), ("T2", ""), ("T3", "A")]
+
+
+def test_outputs_are_files_or_parts(spark, tmp_path):
+    df = spark.createDataFrame([("T1", "AC"), ("T2", "GT")], "tran_id string, seq string").repartition(2, "seq")
+    for parts in (False, True):
+        paths = [str(tmp_path / f"{n}{parts}") for n in ("t", "f", "b")]
+        text.write_table(df.orderBy("tran_id"), paths[0], parts)
+        text.write_fasta(df, paths[1], parts)
+        text.write_bedgraph(spark.createDataFrame([("2", 5, 6, 1.0), ("1", 9, 10, 2.0), ("1", 3, 4, 3.0)], "chr string, start long, stop long, value double"), paths[2], parts)
+        assert all(os.path.isdir(p) == parts for p in paths)
+        assert [tuple(r) for r in spark.read.option("header", True).csv(paths[0]).orderBy("tran_id").collect()] == [("T1", "AC"), ("T2", "GT")]
+        assert sorted(map(tuple, text.read_fasta(spark, paths[1]).collect())) == [("T1", "AC"), ("T2", "GT")]
+        assert sorted(map(tuple, text.read_bedgraph(spark, paths[2]).collect())) == [("1", 3, 4, 3.0), ("1", 9, 10, 2.0), ("2", 5, 6, 1.0)]
+    assert (tmp_path / "tFalse").read_text() == "tran_id,seq\nT1,AC\nT2,GT\n"
+    assert [x.split("\t")[1] for x in (tmp_path / "bFalse").read_text().splitlines()] == ["3", "9", "5"]
+    assert not [p for p in os.listdir(tmp_path) if ".parts-" in p]
+
+
 def test_bigwig_round_trip(spark, tmp_path):
     rows = [(c, 2 * i, 2 * i + 1 + i % 2, float(i % 7)) for c in ("1", "2", "X") for i in range(3000)]
     df = spark.createDataFrame(rows, "chr string, start long, stop long, value double")
