@@ -11,7 +11,8 @@ from .fixtures import ctes, table
 from .functions import transcript_id
 from .operators import annotation, intervals, orfs, reads, report, scoring
 from .options import Semantics
-from .session import written
+from .session import work_folder, written
+from .sources import bam, bigwig, text
 
 _FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -437,6 +438,145 @@ def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d)
 
 
+# ---------------------------------------------------------------- files: written in the shared folder and read again
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    folder = work_folder(spark, name)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
+
+
+@_query("gtf_file", ("ex", "ann"), [], "SELECT chr, type, start, stop, strand, attributes FROM ann")
+def gtf_file(spark: SparkSession, d: str) -> DataFrame:
+    dot = F.lit(".")
+    lines = table(spark, d, "ann").select(F.concat_ws("\t", "chr", F.lit("src"), "type", "start", "stop", dot, "strand", dot, "attributes").alias("value"))
+    path = _folder(spark, "gtf")
+    lines.union(spark.createDataFrame([("#!comment",)], "value string")).write.text(path)
+    return text.read_gtf(spark, path)
+
+
+@_query("gtf_exons", ("ex", "ann"), [_EXON.replace("FROM ex WINDOW", "FROM (SELECT * FROM ex WHERE lang <> 'es') WINDOW")], "SELECT chr, tran_id, strand, exon_idx, start, stop, tran_start, tran_stop FROM exon")
+def gtf_exons(spark: SparkSession, d: str) -> DataFrame:
+    return annotation.exon_coords(annotation.with_transcript_id(gtf_file(spark, d)).where("tran_id <> ''"))
+
+
+@_query("fasta_file", ("tr",), [], "SELECT tran_id, seq FROM tr")
+def fasta_file(spark: SparkSession, d: str) -> DataFrame:
+    """Headers with more than an id, a mark within a line, and lines of 60 bases."""
+    tr = table(spark, d, "tr").select(F.concat("tran_id", F.lit("|"), "lang", F.lit(" c.1A>G")).alias("tran_id"), F.regexp_replace("seq", "(.{60})", "$1\n").alias("seq"))
+    path = _folder(spark, "fasta")
+    text.write_fasta(tr, path, parts=True)
+    return text.read_fasta(spark, path)
+
+
+@_query("transcript_fasta", ("tr",), [_SPLICED], "SELECT tran_id, string_agg(piece, '' ORDER BY CASE strand WHEN '+' THEN start ELSE -start END) AS seq FROM pieces GROUP BY tran_id, strand")
+def transcript_fasta(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "transcripts") + "/out_transcripts.fa"
+    text.write_fasta(spliced_sequence(spark, d), path)
+    return text.read_fasta(spark, path)
+
+
+@_query("bam_file", ("rd",), [], 'SELECT qname, rname, pos, "end" FROM rd')
+def bam_file(spark: SparkSession, d: str) -> DataFrame:
+    rd = table(spark, d, "rd")
+    size = rd.agg(F.max("end")).first()[0] or 0
+    folder = _folder(spark, "bam")
+    rd.limit(0).write.parquet(folder)  # makes the folder
+    return bam.read_bam(spark, bam.write_bam_parts(rd, [(f"chr{i}", size) for i in range(1, 6)], folder), split=1 << 18)
+
+
+@_query("bedgraph_file", ("ex", "cdsg", "rd"), [*_MAPPED, _OFFSETS, _COVERAGE], "SELECT chr, start, stop, value FROM coverage")
+def bedgraph_file(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "coverage") + "/out.bedGraph"
+    text.write_bedgraph(_coverage(spark, d), path)
+    return text.read_bedgraph(spark, path)
+
+
+_SIZES = "SELECT chr, max(stop) + 2000 AS size FROM ex GROUP BY chr"
+
+
+@_query("sizes_file", ("ex",), [], _SIZES)
+def sizes_file(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "sizes")
+    table(spark, d, "ex").groupBy("chr").agg((F.max("stop") + 2000).alias("size")).write.option("sep", "\t").csv(path)
+    return text.read_sizes(spark, path)
+
+
+@_query("bigwig_file", ("ex", "cdsg", "rd"), [*_MAPPED, _OFFSETS, _COVERAGE], "SELECT chr, start, stop, value FROM coverage")
+def bigwig_file(spark: SparkSession, d: str) -> DataFrame:
+    folder = _folder(spark, "bigwig")
+    coverage = written(_coverage(spark, d), "coverage")
+    coverage.limit(0).write.parquet(folder)  # makes the folder
+    return bigwig.read_bigwig(spark, bigwig.write_bigwig(coverage, sizes_file(spark, d), f"{folder}/out.bw"))
+
+
+@_query("bigwig_ranges", ("ex", "cdsg", "rd"), [*_MAPPED, _OFFSETS, _COVERAGE], "SELECT chr, start, stop, value FROM coverage WHERE chr IN ('chr2', 'chr4') AND start < 500000 AND stop > 100000")
+def bigwig_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return bigwig_file(spark, d).where("chr IN ('chr2', 'chr4') AND start < 500000 AND stop > 100000")
+
+
+@_query("offsets_file", ("ex", "cdsg", "rd"), [*_MAPPED, _OFFSETS], 'SELECT length, "offset" FROM offsets')
+def offsets_file(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "offsets") + "/offsets.csv"
+    text.write_table(change_point_offsets(spark, d), path)
+    return text.read_offsets(spark, path)
+
+
+@_query("exon_file", ("ex",), [_EXON], "SELECT chr, tran_id, '+' AS strand, exon_idx, start, stop, tran_start, tran_stop FROM exon")
+def exon_file(spark: SparkSession, d: str) -> DataFrame:
+    _, path = text.write_orfs_and_exons(_typed(spark, d).limit(0), _exons(spark, d), _folder(spark, "exons") + "/out")
+    return text.read_exons(spark, path)
+
+
+@_query("orf_file", ("tr", "ex", "cdsg"), [*_ANNOTATED, *_TYPES], f"SELECT {_ORF_COLUMNS}, type FROM typed")
+def orf_file(spark: SparkSession, d: str) -> DataFrame:
+    path, _ = text.write_orfs_and_exons(_typed(spark, d), _exons(spark, d), _folder(spark, "orfs") + "/out")
+    return text.read_orfs(spark, path)
+
+
+@_query("scored_file", _ALL, [*_COVERED, *_TYPES, _SUMS, _SCORED], f"SELECT {_ORF_COLUMNS}, type, {_SCORE_COLUMNS} FROM scored")
+def scored_file(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "scored") + "/out_orfs_scored.csv"
+    text.write_table(orf_scored(spark, d).orderBy(F.desc("score"), "tran_id", "start"), path)
+    return text.read_scored(spark, path)
+
+
+_SHOWN = ", ".join(f"CAST(round(CAST(round({c}, 9) AS DECIMAL(28, 9)), 2) AS DOUBLE) AS {c}" for c in _SCORED_COLUMNS)
+
+
+@_query("top10_rounded", _ALL, [*_COVERED, *_TYPES, _SUMS, _SCORED], f"SELECT {_ORF_COLUMNS}, type, {_SHOWN}, CAST(rank AS INTEGER) AS rank FROM ({_RANKED}) WHERE rank <= 10")
+def top10_rounded(spark: SparkSession, d: str) -> DataFrame:
+    """The table of the report."""
+    return report.rounded(top10_per_type(spark, d))
+
+
+# twenty and more sequences to an id, each still searched by itself
+@_query("orf_find_shared_ids", ("tr",), [_CODONS, _orf_sql()], "SELECT concat('G', CAST(substr(tran_id, 2) AS BIGINT) % 50) AS tran_id, start, stop, length, startorf, stoporf FROM orf")
+def orf_find_shared_ids(spark: SparkSession, d: str) -> DataFrame:
+    tr = table(spark, d, "tr").select(F.concat(F.lit("G"), F.col("doc_id") % 50).alias("tran_id"), "seq")
+    return orfs.find_orfs(tr)
+
+
+_ONCE = """
+once AS (
+  SELECT chr, "A-site", CAST(sum(count) AS BIGINT) AS count FROM (
+    SELECT r.chr, r.start + 15 AS "A-site", r.qname, max(r.count) AS count
+    FROM (SELECT CAST(split_part(qname, '_x', 2) AS BIGINT) AS count, qname, rname AS chr, pos AS start, "end" AS stop FROM rd) r
+    JOIN exon e ON r.chr = e.chr AND r.start >= e.start AND r.stop <= e.stop JOIN cds c ON e.tran_id = c.tran_id
+    GROUP BY ALL) GROUP BY ALL
+)"""
+
+
+@_query("asite_coverage_once", ("ex", "cdsg", "rd"), [*_ANNOTATED, _ONCE], 'SELECT chr, "A-site", "A-site" + 1 AS stop, count FROM once')
+def asite_coverage_once(spark: SparkSession, d: str) -> DataFrame:
+    """Every read name once at each A-site, with an offset of 15 for all lengths."""
+    once = Semantics(dedupe_reads=True)
+    placed = reads.reads_to_cds(reads.reads_to_transcript(reads.normalize_reads(table(spark, d, "rd"), semantics=once), _exons(spark, d)), _cds(spark, d))
+    return reads.asite_coverage(placed, spark.range(0, 60).select(F.col("id").alias("length"), F.lit(15).cast("long").alias("offset")), once)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_FOUND)
 
