@@ -105,7 +105,7 @@ def _id_draw() -> Column:
 
 def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """Ready to be broadcast where it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def _copies(docs: DataFrame, planned: DataFrame) -> DataFrame:

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import remove, ship, work_folder
 
 #: Distinct 8-byte ids that a broadcast may hold, about 10 MB in memory; beyond it a join shuffles instead.
 BROADCAST_IDS = 250_000
@@ -17,19 +13,6 @@ BROADCAST_IDS = 250_000
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset and Spark runs on this machine alone, a temporary folder that
-    is then set as such. On a cluster executors would write to their own disks, so there it is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="orfspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 class Scratch:
     """Tables written under one folder of their own, to cut lineage and to compute shared inputs once.
 
@@ -43,8 +26,9 @@ class Scratch:
             if not spark.conf.get(setting, None):
                 spark.conf.set(setting, value)
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/orfspark/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.folder)
+        self.folder = work_folder(spark, name)
+        if not self.folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
@@ -53,14 +37,7 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            self._remove(f"{self.folder}/{name}")
-
-    def _remove(self, path: str) -> None:
-        context = self.spark.sparkContext
-        if context._jsc is None or context._jsc.sc().isStopped():
-            return
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+            remove(self.spark, f"{self.folder}/{name}")
 
 
 def _hinted(ids: DataFrame, on: str, bound: int) -> DataFrame:

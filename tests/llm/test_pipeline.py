@@ -57,3 +57,34 @@ def test_stages_against_brute_force(spark, tables, tmp_path):
     assert used <= floor + 1
     whole = corpus_pipeline.run(spark, folder).collect()
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)
+
+
+def _tables(spark, folder, rows, labels):
+    df = brute.clashing(spark.createDataFrame(rows, brute.DOCS))
+    df.write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    return str(folder)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null ids, texts and sources, empty and very long texts, repeated rows and ids, clashing columns."""
+    rng = random.Random(8)
+    fresh = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    one, two, long, nameless = fresh(60), fresh(70), fresh(60_000), fresh(40)
+    rows = [
+        (1, one, "en", "a", 1), (1, one, "en", "a", 1), (2, two, None, None, None), (2, fresh(50), "en", "b", 2), (3, None, "en", "a", 0), (4, "", "en", "a", 0),
+        (5, " \n\t", "en", "", 0), (6, long, "en", "b", 3), (None, nameless, "en", "a", 4), (None, None, None, None, None), (7, "too short", "en", "c", 9),
+    ]
+    folder = _tables(spark, tmp_path / "odd", rows, [(1, 1, 0), (3, 0, None), (None, 1, 0), (2, None, None)])
+    packed = corpus_pipeline.run(spark, folder).collect()
+    # what the base rules reject goes, one of the repeated rows stays, and every other text is packed whole at least once
+    assert {r.doc_id for r in packed} == {1, 2, 6, None}
+    ends = {(r.doc_id, r.start + r.length) for r in packed}
+    assert sum(i == 1 for i, _ in ends) == 1 and sum(r.doc_id == 2 and r.piece == 0 for r in packed) >= 2 and max(e for i, e in ends if i == 6) > 60_000
+    assert all(r.offset + r.length <= 4096 for r in packed)
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, _tables(spark, tmp_path / "none", [], [])).collect() == []
+    only = [(1, None, "en", "a", 0), (2, "", "en", "a", 0)]
+    assert corpus_pipeline.run(spark, _tables(spark, tmp_path / "poor", only, [(1, 1, 0), (2, 0, 0)])).collect() == []
