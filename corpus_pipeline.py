@@ -50,7 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written before the next one reads it."""
+    """All stages over ``documents``, each written before the next one reads it; the rows are those of ``packing``.
+
+    Texts are judged whole, whatever their length. Null, empty and short texts fail the quality rules and go. Rows that repeat a
+    text, with one id or several, are near-duplicates, of which one stays; different texts of one id stay, as do rows with a null
+    id, whose packed pieces have a null doc_id. A null source counts as the empty one. Ties are broken as each stage's docstring
+    says. Extra columns, whatever their names, come along up to packing. Empty tables give an empty result.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES[:-1]):
