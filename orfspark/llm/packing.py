@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +107,8 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int, step: int, last: boo
     open_ = free * 20 > capacity if certified else free * 100 > capacity
     if last:
         open_[:] = False
-    base = (step << 56) | (TaskContext.get().partitionId() << 24)
+    base = (step << 56) | (rows.column("part")[0].as_py() << 24)
+    rows = rows.drop_columns("part")
     more = {"sequence_id": pa.array(bins + base), "offset": pa.array(offsets), "open": pa.array(open_[bins]), "certified": pa.array(np.full(len(rows), certified))}
     for name, values in more.items():
         rows = rows.append_column(name, values)
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     while True:
         earlier, tasks = tasks, max(1, min(-(-rows // PIECES), tasks // 2), -(-rows // (FULLER * PIECES)))
         # dealt by row numbers, so ids that are null or repeat are spread too
-        dealt = left.repartition(tasks, "row", F.lit(step))
+        dealt = left.repartition(tasks, "row", F.lit(step)).withColumn("part", F.spark_partition_id())
         packed = scratch.save(dealt.mapInArrow(lambda b, step=step, last=tasks == 1: _pack(b, capacity, step, last), schema), f"round-{step}")
         sums = packed.groupBy("open").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("sequence_id").alias("bins")).collect()
         bins = {r.open: r.bins for r in sums}

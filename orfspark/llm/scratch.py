@@ -13,6 +13,10 @@ BROADCAST_IDS = 250_000
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
+#: Files of a table for each core of the cluster, at most: every file costs a fork of its executor where the store sets modes by one.
+FILES_PER_CORE = 4
+
+
 class Scratch:
     """Tables written under one folder of their own, to cut lineage and to compute shared inputs once.
 
@@ -31,8 +35,9 @@ class Scratch:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read again. A task may write several partitions, one after the other, so files are few and large."""
         path = f"{self.folder}/{name}"
-        df.write.parquet(path)
+        df.coalesce(FILES_PER_CORE * self.spark.sparkContext.defaultParallelism).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
