@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Rows of a written part, and the least number of parts: links are few beside documents, and many small files cost more than they share out.
-_PART_ROWS, _LEAST_PARTS = 100_000, 8
-
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, comp) for every id in ``links(a, b)``; comp is the smallest id that can be reached.
@@ -19,17 +16,16 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     edges = scratch.save(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x > y").distinct(), f"{name}-edges-0")
     labels, old, step = None, [f"{name}-edges-0"], 0
-    put = lambda df, name, rows: scratch.save(df.coalesce(max(_LEAST_PARTS, -(-rows // _PART_ROWS))), name)
     rows = most = edges.count()
     while True:
         hook = edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("comp"))
-        parents = put(hook, f"{name}-hook-{step}", rows)
+        parents = scratch.save(hook, f"{name}-hook-{step}", rows)
         old.append(f"{name}-hook-{step}")
         jump = 0
         while True:
             nxt = parents.alias("p").join(parents.alias("q"), F.col("p.comp") == F.col("q.node"), "left")
             nxt = nxt.select("p.node", F.coalesce("q.comp", "p.comp").alias("comp"), F.col("q.comp").isNotNull().alias("moved"))
-            nxt = put(nxt, f"{name}-jump-{step}-{jump}", rows)
+            nxt = scratch.save(nxt, f"{name}-jump-{step}-{jump}", rows)
             old.append(f"{name}-jump-{step}-{jump}")
             moved = not nxt.where("moved").limit(1).isEmpty()
             parents = nxt.select("node", "comp")
@@ -40,11 +36,11 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             seen = edges.select(F.col("x").alias("node")).union(edges.select("y")).distinct()
             labels = seen.select("node", F.col("node").alias("root"))
         labels = labels.alias("l").join(parents.alias("p"), F.col("l.root") == F.col("p.node"), "left")
-        labels = put(labels.select("l.node", F.coalesce("p.comp", "l.root").alias("root")), f"{name}-labels-{step}", 2 * most)
+        labels = scratch.save(labels.select("l.node", F.coalesce("p.comp", "l.root").alias("root")), f"{name}-labels-{step}", 2 * most)
         side = lambda e, c: e.join(parents.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_root")), c, "left")
         moved = side(side(edges, "x"), "y").select(F.coalesce("x_root", "x").alias("u"), F.coalesce("y_root", "y").alias("v"))
         step += 1
-        edges = put(moved.where("u <> v").select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).distinct(), f"{name}-edges-{step}", rows)
+        edges = scratch.save(moved.where("u <> v").select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).distinct(), f"{name}-edges-{step}", rows)
         scratch.drop(*old, *([f"{name}-labels-{step - 2}"] if step > 1 else []))
         old = [f"{name}-edges-{step}"]
         rows = edges.count()

@@ -257,7 +257,7 @@ def named(pairs: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The links among ``pairs(a, b)`` of ids that ``docs`` has once. Only documents named in a pair are moved."""
-    ids = scratch.save(named(pairs), f"{name}-ids")
+    ids = scratch.save(named(pairs), f"{name}-ids", 2 * pairs.count())
     texts = restrict(docs.select("doc_id", "text"), ids, "doc_id")
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         same = restrict(docs, repeated, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
         docs = scratch.save(without(docs, repeated, "doc_id").unionByName(same), "docs")
     sketches = scratch.save(sketch(docs), "sketches")
-    classes = scratch.save(sketches.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("class_id")), "classes")
+    classes = scratch.save(sketches.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("class_id")), "classes", sketches.count())
     heads = restrict(sketches.where("n_shingles > 0"), classes.select("class_id"), "doc_id")
     each = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring(F.col("regs"), b * (2 * BAND) + 1, F.lit(2 * BAND)), b)))
     bands = heads.select("doc_id", "n_shingles", each.alias("band", "key"))
@@ -303,8 +303,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     size = 100 * F.least("n_shingles", "head_n") >= PERCENT * F.greatest("n_shingles", "head_n")
     star = members.where(size & (F.col("doc_id") != F.col("head"))).select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
-    star = scratch.save(star, "star")
-    slim = restrict(sketches, scratch.save(named(star), "star-ids"), "doc_id").select("doc_id", "n_shingles", "regs", "once", "twice")
+    star = scratch.save(star, "star", members.count())
+    slim = restrict(sketches, scratch.save(named(star), "star-ids", 2 * star.count()), "doc_id").select("doc_id", "n_shingles", "regs", "once", "twice")
     side = lambda c: slim.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n_shingles", "regs", "once", "twice")))
     hopeful = scratch.save(star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_screen, "a long, b long"), "hopeful")
     links = scratch.save(confirm(hopeful, docs, scratch, "links"), "links")
@@ -317,10 +317,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # of each bucket with several components: the largest one and the number of rows outside it
     by_comp = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("own")).groupBy("key")
     mixed = by_comp.agg(F.max(F.struct("own", "comp")).alias("most"), (F.sum("own") - F.max("own")).alias("others")).where("others > 0")
-    mixed = scratch.save(mixed.select("key", F.col("most.comp").alias("largest"), F.col("most.own").alias("inside"), "others"), "mixed")
+    mixed = scratch.save(mixed.select("key", F.col("most.comp").alias("largest"), F.col("most.own").alias("inside"), "others"), "mixed", buckets.count())
     rest = now.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "key")
     rest = scratch.save(rest.withColumn("most", F.col("comp") == F.col("largest")), "rest")
-    slim = restrict(sketches, scratch.save(rest.select("doc_id").distinct(), "rest-ids"), "doc_id").select("doc_id", "n_shingles", "regs", "once", "twice")
+    slim = restrict(sketches, scratch.save(rest.select("doc_id").distinct(), "rest-ids", rest.count()), "doc_id").select("doc_id", "n_shingles", "regs", "once", "twice")
     # rows outside the largest component meet each other and all of it, so a bucket's copies grow with those rows alone
     number = lambda rows: F.ceil(F.col(rows) / BLOCK).cast("int")
     place = lambda rows: F.pmod(F.xxhash64("doc_id", F.lit(5)), number(rows)).cast("int")
@@ -358,7 +358,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near")
     repeated = repeated_ids(docs)
     if repeated is None:
-        gone = scratch.save(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+        gone = scratch.save(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone", docs.count())
         return without(docs, gone, "doc_id")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     keyed = scratch.save(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", row), "keyed")

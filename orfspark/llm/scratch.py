@@ -13,8 +13,8 @@ BROADCAST_IDS = 250_000
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
-#: Files of a table for each core of the cluster, at most: every file costs a fork of its executor where the store sets modes by one.
-FILES_PER_CORE = 4
+#: Rows of a part of a table of few narrow rows, and the least number of parts: many small files cost more than they share out.
+PART_ROWS, LEAST_PARTS = 250_000, 8
 
 
 class Scratch:
@@ -34,10 +34,11 @@ class Scratch:
         if not self.folder:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written and read again. A task may write several partitions, one after the other, so files are few and large."""
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``df`` written and read again. ``rows`` bounds the number of its rows, where these are narrow and no Python makes them: it
+        then has a part for each PART_ROWS of them, LEAST_PARTS at least."""
         path = f"{self.folder}/{name}"
-        df.coalesce(FILES_PER_CORE * self.spark.sparkContext.defaultParallelism).write.parquet(path)
+        (df if rows is None else df.coalesce(max(LEAST_PARTS, -(-rows // PART_ROWS)))).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
