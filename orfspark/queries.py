@@ -504,17 +504,30 @@ def sizes_file(spark: SparkSession, d: str) -> DataFrame:
     return text.read_sizes(spark, path)
 
 
-@_query("bigwig_file", ("ex", "cdsg", "rd"), [*_MAPPED, _OFFSETS, _COVERAGE], "SELECT chr, start, stop, value FROM coverage")
-def bigwig_file(spark: SparkSession, d: str) -> DataFrame:
+#: A read at a contig's start can have its A-site before it, where a BigWig has no places: positions are moved in the file.
+_MOVED = 1000
+
+
+def _moved(coverage: DataFrame, by: int) -> DataFrame:
+    return coverage.select("chr", (F.col("start") + by).alias("start"), (F.col("stop") + by).alias("stop"), "value")
+
+
+def _bigwig(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark, "bigwig")
-    coverage = written(_coverage(spark, d), "coverage")
+    coverage = written(_moved(_coverage(spark, d), _MOVED), "coverage")
     coverage.limit(0).write.parquet(folder)  # makes the folder
     return bigwig.read_bigwig(spark, bigwig.write_bigwig(coverage, sizes_file(spark, d), f"{folder}/out.bw"))
 
 
+@_query("bigwig_file", ("ex", "cdsg", "rd"), [*_MAPPED, _OFFSETS, _COVERAGE], "SELECT chr, start, stop, value FROM coverage")
+def bigwig_file(spark: SparkSession, d: str) -> DataFrame:
+    return _moved(_bigwig(spark, d), -_MOVED)
+
+
 @_query("bigwig_ranges", ("ex", "cdsg", "rd"), [*_MAPPED, _OFFSETS, _COVERAGE], "SELECT chr, start, stop, value FROM coverage WHERE chr IN ('chr2', 'chr4') AND start < 500000 AND stop > 100000")
 def bigwig_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return bigwig_file(spark, d).where("chr IN ('chr2', 'chr4') AND start < 500000 AND stop > 100000")
+    some = _bigwig(spark, d).where(f"chr IN ('chr2', 'chr4') AND start < {500000 + _MOVED} AND stop > {100000 + _MOVED}")
+    return _moved(some, -_MOVED)
 
 
 @_query("offsets_file", ("ex", "cdsg", "rd"), [*_MAPPED, _OFFSETS], 'SELECT length, "offset" FROM offsets')

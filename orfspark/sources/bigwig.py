@@ -264,8 +264,9 @@ def write_bigwig(coverage: DataFrame, sizes: DataFrame | dict[str, int], path: s
     """Write coverage(chr, start, stop, value) as one BigWig file and return its path.
 
     Executors sort the rows and cut them into sections; these come to the driver in order, a partition at a time, and only
-    their index entries are kept. Contigs that ``sizes`` lacks are an error. No zoom levels are written. A file in a store is
-    written here first, as its head is known last, and then copied.
+    their index entries are kept. Contigs that ``sizes`` lacks are an error, and so are positions before a contig's start or
+    beyond its size, which the format cannot hold. No zoom levels are written. A file in a store is written here first, as its
+    head is known last, and then copied.
     """
     from ..session import ship
 
@@ -297,6 +298,8 @@ def write_bigwig(coverage: DataFrame, sizes: DataFrame | dict[str, int], path: s
         for s in ordered.mapInArrow(lambda b, items=_ITEMS: _sections(b, items), _SECTION).toLocalIterator():
             if s.chr not in number:
                 raise ValueError(f"no size is given for {s.chr}")
+            if s.start < 0 or s.stop > known[s.chr]:
+                raise ValueError(f"{s.chr}:{s.start}-{s.stop} is not within the contig's {known[s.chr]} bases")
             data = struct.pack("<IIIIIBBH", number[s.chr], s.start, s.stop, 0, 0, 1, 0, s.size) + bytes(s.packed)
             out = zlib.compress(data)
             blocks.append((number[s.chr], s.start, s.stop, f.tell(), len(out)))

@@ -102,6 +102,10 @@ def test_bigwig_round_trip(spark, tmp_path):
     assert len(list(index.blocks(None, None, None))) == 9 and len(list(index.blocks({1}, 50, 100))) == 1
     with pytest.raises(ValueError, match="no size"):
         bigwig.write_bigwig(df, {"1": 10_000}, str(tmp_path / "b.bw"))
+    for outside in ((-1, 3), (98, 101)):
+        row = spark.createDataFrame([("1", *outside, 1.0)], "chr string, start long, stop long, value double")
+        with pytest.raises(ValueError, match="not within"):
+            bigwig.write_bigwig(row, {"1": 100}, str(tmp_path / "b.bw"))
     assert bigwig.read_bigwig(spark, bigwig.write_bigwig(df.limit(0), {"1": 5}, str(tmp_path / "c.bw"))).count() == 0
 
 
