@@ -514,7 +514,7 @@ def _moved(coverage: DataFrame, by: int) -> DataFrame:
 
 def _bigwig(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark, "bigwig")
-    coverage = written(_moved(_coverage(spark, d), _MOVED), "coverage")
+    coverage = _moved(_coverage(spark, d), _MOVED)
     coverage.limit(0).write.parquet(folder)  # makes the folder
     return bigwig.read_bigwig(spark, bigwig.write_bigwig(coverage, sizes_file(spark, d), f"{folder}/out.bw"))
 

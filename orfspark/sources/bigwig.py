@@ -10,7 +10,7 @@ import os
 import struct
 import tempfile
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +29,8 @@ MAGIC, CONTIG_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
 _BLOCKS = 256
 _ITEMS = 1024
 _FANOUT = 256
+#: Zoom levels at most, and how much wider each one's bins are than those of the one before.
+_ZOOMS, _WIDER = 10, 4
 
 
 @dataclass
@@ -48,8 +50,10 @@ class _Index:
             head = f.read(64)
             if len(head) < 64 or struct.unpack_from("<I", head)[0] != MAGIC:
                 raise ValueError(f"{path} is not a little-endian BigWig file")
-            _, _, _, contigs, _, self.index, _, _, _, _, buffer, _ = struct.unpack("<IHHQQQHHQQIQ", head)
+            _, _, zooms, contigs, _, self.index, _, _, _, _, buffer, _ = struct.unpack("<IHHQQQHHQQIQ", head)
             self.compressed = buffer > 0
+            #: (width, place of the records, place of the index) of each zoom level
+            self.zooms = [(width, at, index) for width, _, at, index in struct.iter_unpack("<IIQQ", f.read(24 * zooms))]
             self.contigs = dict(self._contigs(f, contigs))
 
     def _contigs(self, f, at: int) -> Iterator[tuple[int, tuple[str, int]]]:
@@ -69,13 +73,15 @@ class _Index:
                 else:
                     todo.append(struct.unpack("<Q", f.read(8))[0])
 
-    def blocks(self, wanted: set[int] | None, low: int | None, high: int | None) -> Iterator[tuple[int, int]]:
-        """(place, size) of the blocks that may hold intervals of ``wanted`` contigs with stop > low and start < high."""
+    def blocks(self, wanted: set[int] | None, low: int | None, high: int | None, index: int | None = None) -> Iterator[tuple[int, int]]:
+        """(place, size) of the blocks that may hold intervals of ``wanted`` contigs with stop > low and start < high, by the index
+        of the whole data or that at ``index``."""
+        index = self.index if index is None else index
         with opened(self.path) as f:
-            f.seek(self.index)
+            f.seek(index)
             if struct.unpack("<I", f.read(4))[0] != INDEX_MAGIC:
                 raise ValueError(f"{self.path} has no index")
-            todo = [self.index + 48]
+            todo = [index + 48]
             while todo:
                 f.seek(todo.pop())
                 leaf, _, n = struct.unpack("<BBH", f.read(4))
@@ -191,19 +197,31 @@ def read_bigwig(spark: SparkSession, path: str) -> DataFrame:
 _SECTION = "chr string, start long, stop long, packed binary, size int, covered long, low double, high double, total double, squares double"
 
 
-def _sections(batches: Iterator[pa.RecordBatch], items: int) -> Iterator[pa.RecordBatch]:
-    """Rows (chr, start, stop, value) in order, cut into sections of one contig and at most ``items`` rows each; the contig's number
+def _intervals(part: pa.Table) -> tuple:
+    """A section of rows (chr, start, stop, value) of one contig."""
+    start, stop = (part.column(i).to_numpy().astype(np.int64) for i in (1, 2))
+    value = part.column(3).to_numpy().astype("<f4")
+    triples = np.empty((len(part), 3), "<u4")
+    triples[:, 0], triples[:, 1], triples[:, 2] = start, stop, value.view("<u4")
+    span, exact = stop - start, part.column(3).to_numpy().astype(np.float64)
+    return part.column(0)[0].as_py(), int(start[0]), int(stop.max()), triples.tobytes(), len(part), int(span.sum()), float(exact.min()), float(exact.max()), float((exact * span).sum()), float((exact**2 * span).sum())
+
+
+def _summaries(part: pa.Table) -> tuple:
+    """A section of a zoom level: rows (chr, start, stop, covered, low, high, total, squares) of one contig."""
+    records = np.zeros((len(part), 8), "<u4")
+    for i in (1, 2, 3):
+        records[:, i] = part.column(i).to_numpy()
+    for i in (4, 5, 6, 7):
+        records[:, i] = part.column(i).to_numpy().astype("<f4").view("<u4")
+    return part.column(0)[0].as_py(), int(records[0, 1]), int(records[:, 2].max()), records.tobytes(), len(part), 0, 0.0, 0.0, 0.0, 0.0
+
+
+def _sections(batches: Iterator[pa.RecordBatch], items: int, packed: Callable[[pa.Table], tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of contig and start, cut into sections of one contig and at most ``items`` rows each; the contig's number
     is filled in later."""
     held: pa.Table | None = None
 
-    def packed(part: pa.Table) -> tuple:
-        start, stop = (part.column(i).to_numpy().astype(np.int64) for i in (1, 2))
-        value = part.column(3).to_numpy().astype("<f4")
-        triples = np.empty((len(part), 3), "<u4")
-        triples[:, 0], triples[:, 1], triples[:, 2] = start, stop, value.view("<u4")
-        span, exact = stop - start, part.column(3).to_numpy().astype(np.float64)
-        return part.column(0)[0].as_py(), int(start[0]), int(stop.max()), triples.tobytes(), len(part), int(span.sum()), float(exact.min()), float(exact.max()), float((exact * span).sum()), float((exact**2 * span).sum())
-
     def cut(table: pa.Table, last: bool) -> tuple[list[tuple], pa.Table]:
         names = table.column(0).combine_chunks()
         coded = pc.run_end_encode(names) if len(names) else None
@@ -260,15 +278,44 @@ def _tree(blocks: list[tuple[int, int, int, int, int]], at: int) -> bytes:
     return b"".join(out)
 
 
+def _index(blocks: list[tuple[int, int, int, int, int]], at: int) -> bytes:
+    """The index at ``at`` of blocks (contig, start, stop, place, size)."""
+    first, last = (blocks[0], blocks[-1]) if blocks else ((0, 0, 0, at, 0),) * 2
+    head = struct.pack("<IIQIIIIQII", INDEX_MAGIC, _FANOUT, len(blocks), first[0], first[1], last[0], last[2], at, _ITEMS, 0)
+    return head + _tree(blocks, at + len(head))
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """One summary of each bin's parts."""
+    ways = {"start": F.min, "stop": F.max, "covered": F.sum, "low": F.min, "high": F.max, "total": F.sum, "squares": F.sum}
+    return parts.groupBy("chr", "bin").agg(*(f(c).alias(c) for c, f in ways.items()))
+
+
+def _binned(rows: DataFrame, width: int) -> DataFrame:
+    """Summaries of rows (chr, start, stop, value) by bins of ``width`` bases; a row over several bins counts in each with its part."""
+    first, last = (F.floor(x / F.lit(width)) for x in (F.col("start"), F.col("stop") - 1))
+    cut = rows.where("stop > start").select("*", F.explode(F.sequence(first, last)).alias("bin"))
+    cut = cut.select("chr", "bin", "value", F.greatest("start", F.col("bin") * width).alias("start"), F.least("stop", (F.col("bin") + 1) * width).alias("stop"))
+    span, value = F.col("stop") - F.col("start"), F.col("value")
+    parts = cut.select("chr", "bin", "start", "stop", span.alias("covered"), value.alias("low"), value.alias("high"), (value * span).alias("total"), (value * value * span).alias("squares"))
+    return _summed(parts)
+
+
+def _wider(level: DataFrame) -> DataFrame:
+    """A level's summaries by bins ``_WIDER`` times as wide."""
+    return _summed(level.withColumn("bin", F.floor(F.col("bin") / _WIDER)))
+
+
 def write_bigwig(coverage: DataFrame, sizes: DataFrame | dict[str, int], path: str) -> str:
     """Write coverage(chr, start, stop, value) as one BigWig file and return its path.
 
     Executors sort the rows and cut them into sections; these come to the driver in order, a partition at a time, and only
     their index entries are kept. Contigs that ``sizes`` lacks are an error, and so are positions before a contig's start or
-    beyond its size, which the format cannot hold. No zoom levels are written. A file in a store is written here first, as its
-    head is known last, and then copied.
+    beyond its size, which the format cannot hold. Zoom levels are summed by executors, each from the one before: bins begin
+    at ten mean spans and widen fourfold until a level fits one section; a level with over half of the records before it is
+    left out. A file in a store is written here first, as its head is known last, and then copied.
     """
-    from ..session import ship
+    from ..session import ship, written
 
     spark = coverage.sparkSession
     ship(spark)
@@ -276,16 +323,28 @@ def write_bigwig(coverage: DataFrame, sizes: DataFrame | dict[str, int], path: s
     names = sorted(known)
     number = {n: i for i, n in enumerate(names)}
     chrom, start, stop, value = (F.col(f"`{c}`") for c in coverage.columns[:4])
-    ordered = coverage.select(chrom.alias("chr"), start.cast("long").alias("start"), stop.cast("long").alias("stop"), value.cast("double").alias("value")).orderBy("chr", "start")
+    rows = written(coverage.select(chrom.alias("chr"), start.cast("long").alias("start"), stop.cast("long").alias("stop"), value.cast("double").alias("value")), "coverage")
     target, path = path, local(path)
     remote = "://" in path
     if remote:
         handle, path = tempfile.mkstemp(suffix=".bw")
         os.close(handle)
-    blocks: list[tuple[int, int, int, int, int]] = []  # contig, start, stop, place, size
     covered, low, high, total, squares, largest = 0, float("inf"), float("-inf"), 0.0, 0.0, 0
+    zooms: list[tuple[int, int, int]] = []  # width, place of the records, place of the index
+
+    def sections(df: DataFrame, packed: Callable[[pa.Table], tuple]) -> Iterator:
+        return df.orderBy("chr", "start").mapInArrow(lambda b, items=_ITEMS: _sections(b, items, packed), _SECTION).toLocalIterator()
+
     with open(path, "wb") as f:
-        f.write(b"\0" * 64)
+
+        def put(blocks: list[tuple[int, int, int, int, int]], s, data: bytes) -> None:
+            nonlocal largest
+            out = zlib.compress(data)
+            blocks.append((number[s.chr], s.start, s.stop, f.tell(), len(out)))
+            f.write(out)
+            largest = max(largest, len(data))
+
+        f.write(b"\0" * (64 + 24 * _ZOOMS))
         summary = f.tell()
         f.write(b"\0" * 40)
         contigs = f.tell()
@@ -295,28 +354,42 @@ def write_bigwig(coverage: DataFrame, sizes: DataFrame | dict[str, int], path: s
             f.write(n.encode().ljust(key, b"\0") + struct.pack("<II", i, known[n]))
         full = f.tell()
         f.write(b"\0" * 8)
-        for s in ordered.mapInArrow(lambda b, items=_ITEMS: _sections(b, items), _SECTION).toLocalIterator():
+        blocks: list[tuple[int, int, int, int, int]] = []
+        records = 0
+        for s in sections(rows, _intervals):
             if s.chr not in number:
                 raise ValueError(f"no size is given for {s.chr}")
             if s.start < 0 or s.stop > known[s.chr]:
                 raise ValueError(f"{s.chr}:{s.start}-{s.stop} is not within the contig's {known[s.chr]} bases")
-            data = struct.pack("<IIIIIBBH", number[s.chr], s.start, s.stop, 0, 0, 1, 0, s.size) + bytes(s.packed)
-            out = zlib.compress(data)
-            blocks.append((number[s.chr], s.start, s.stop, f.tell(), len(out)))
-            f.write(out)
-            largest, covered, total, squares = max(largest, len(data)), covered + s.covered, total + s.total, squares + s.squares
+            put(blocks, s, struct.pack("<IIIIIBBH", number[s.chr], s.start, s.stop, 0, 0, 1, 0, s.size) + bytes(s.packed))
+            records, covered, total, squares = records + s.size, covered + s.covered, total + s.total, squares + s.squares
             low, high = min(low, s.low), max(high, s.high)
-        index = f.tell()
-        boxes = blocks or [(0, 0, 0, full, 0)]
-        f.write(struct.pack("<IIQIIIIQII", INDEX_MAGIC, _FANOUT, len(blocks), boxes[0][0], boxes[0][1], boxes[-1][0], boxes[-1][2], index, _ITEMS, 0))
-        f.write(_tree(blocks, f.tell()))
+        index, count = f.tell(), len(blocks)
+        f.write(_index(blocks, index))
+
+        width, level = 10 * max(1, -(-covered // max(records, 1))), None
+        while records > _ITEMS and covered and len(zooms) < _ZOOMS and width < 1 << 32:
+            level = written(_binned(rows, width) if level is None else _wider(level), "zoom")
+            n = level.count()
+            if 2 * n <= records:
+                place, blocks, records = f.tell(), [], n
+                f.write(struct.pack("<I", n))
+                for s in sections(level.drop("bin"), _summaries):
+                    data = np.frombuffer(bytes(s.packed), "<u4").reshape(s.size, 8).copy()
+                    data[:, 0] = number[s.chr]
+                    put(blocks, s, data.tobytes())
+                zooms.append((width, place, f.tell()))
+                f.write(_index(blocks, f.tell()))
+            width *= _WIDER
         f.write(struct.pack("<I", MAGIC))
         f.seek(full)
-        f.write(struct.pack("<Q", len(blocks)))
+        f.write(struct.pack("<Q", count))
         f.seek(summary)
-        f.write(struct.pack("<Qdddd", covered, low if blocks else 0, high if blocks else 0, total, squares))
+        f.write(struct.pack("<Qdddd", covered, low if count else 0, high if count else 0, total, squares))
         f.seek(0)
-        f.write(struct.pack("<IHHQQQHHQQIQ", MAGIC, 4, 0, contigs, full, index, 0, 0, 0, summary, max(largest, 1), 0))
+        f.write(struct.pack("<IHHQQQHHQQIQ", MAGIC, 4, len(zooms), contigs, full, index, 0, 0, 0, summary, max(largest, 1), 0))
+        for width, place, at in zooms:
+            f.write(struct.pack("<IIQQ", width, 0, place, at))
     if remote:
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         place(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, place(f"file://{path}"), place(target))

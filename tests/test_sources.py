@@ -1,6 +1,8 @@
 import gzip
 import os
 import random
+import struct
+import zlib
 
 import pytest
 
@@ -109,9 +111,37 @@ def test_bigwig_round_trip(spark, tmp_path):
     assert bigwig.read_bigwig(spark, bigwig.write_bigwig(df.limit(0), {"1": 5}, str(tmp_path / "c.bw"))).count() == 0
 
 
+def test_bigwig_zoom_levels(spark, tmp_path, monkeypatch):
+    """Each level against sums by hand, base by base; wide rows lie in several bins."""
+    monkeypatch.setattr(bigwig, "_ITEMS", 8)
+    rng, rows = random.Random(3), []
+    for c in ("1", "2"):
+        at = 0
+        for _ in range(300):
+            at += rng.choice((0, 1, 7))
+            rows.append((c, at, at + rng.choice((1, 2, 90)), rng.choice((0.0, -2.0, 1.0, 8.0))))
+            at = rows[-1][2]
+    p = bigwig.write_bigwig(spark.createDataFrame(rows, "chr string, start long, stop long, value double"), {"1": 100_000, "2": 100_000}, str(tmp_path / "a.bw"))
+    index = bigwig._Index(p)
+    assert len(index.zooms) >= 3 and sorted(map(tuple, bigwig.read_bigwig(spark, p).collect())) == sorted(rows)
+    data = (tmp_path / "a.bw").read_bytes()
+    bases = {(c, x): v for c, start, stop, v in rows for x in range(start, stop)}
+    for width, place, at in index.zooms:
+        bins = {}
+        for (c, x), v in sorted(bases.items()):
+            bins.setdefault((c, x // width), []).append((x, v))
+        wanted = sorted((int(c) - 1, v[0][0], v[-1][0] + 1, len(v), min(y for _, y in v), max(y for _, y in v), sum(y for _, y in v), sum(y * y for _, y in v)) for (c, _), v in bins.items())
+        found = [r for a, n in index.blocks(None, None, None, at) for r in struct.iter_unpack("<IIIIffff", zlib.decompress(data[a : a + n]))]
+        assert sorted(found) == wanted and struct.unpack_from("<I", data, place)[0] == len(wanted)
+    assert len(wanted) <= 8 or index.zooms[-1][0] > 50_000
+    empty = bigwig.write_bigwig(spark.createDataFrame(rows, "chr string, start long, stop long, value double").limit(0), {"1": 5}, str(tmp_path / "b.bw"))
+    assert bigwig._Index(empty).zooms == []
+
+
 def test_bigwig_tree_of_several_levels(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(bigwig, "_FANOUT", 3)
     monkeypatch.setattr(bigwig, "_ITEMS", 5)
+    monkeypatch.setattr(bigwig, "_ZOOMS", 0)
     rows = [("1", i, i + 1, float(i)) for i in range(400)]
     p = bigwig.write_bigwig(spark.createDataFrame(rows, "chr string, start long, stop long, value double"), {"1": 400}, str(tmp_path / "a.bw"))
     assert len(list(bigwig._Index(p).blocks(None, None, None))) == 80
