@@ -504,7 +504,8 @@ def sizes_file(spark: SparkSession, d: str) -> DataFrame:
     return text.read_sizes(spark, path)
 
 
-#: A read at a contig's start can have its A-site before it, where a BigWig has no places: positions are moved in the file.
+#: A read at a contig's start can have its A-site before it (7 of 50,473 positions at sf0.01), where a BigWig has no places:
+#: positions are moved in the file.
 _MOVED = 1000
 
 
