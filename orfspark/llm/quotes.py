@@ -8,15 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, restrict
 
 #: What ends a line that announces a quotation.
 ANNOUNCES = r"(?i)\b(wrote|writes|said|schrieb|a écrit|écrit|escribió)\s*:\s*$"
 _MARKS = r"^[ \t]*((?:>[ \t]?)*)"
 #: What ends a sentence, and what stands for words left out of a quotation.
 _SENTENCE, _CUT = r"(?<=[.!?…])\s+|(?<=[。？！])", r"\n|\[?(?:\.\.\.|…)\]?"
-#: A part of a passage that so many texts hold at most leads to all of them; a commoner one only where the passage has none rarer.
-_FEW = 100
+#: A part of a passage that so many texts hold at most leads to all of them; a commoner one to those that also have the passage's
+#: rarest run of so many words.
+_FEW, _RUN = 100, 4
 #: Rounds of pointer doubling, at most; enough for chains of 2 ** 40 replies.
 _ROUNDS = 40
 
@@ -47,6 +48,33 @@ def _parts(texts: DataFrame, text: str, *keys: str) -> DataFrame:
     return texts.select(*keys, F.explode(each).alias("part")).where("part <> ''").select(*keys, F.sha2("part", 256).alias("digest"))
 
 
+def _runs(words: str) -> str:
+    """Hashes of the runs of _RUN words of an array, or of all its words where it has fewer."""
+    return f"transform(sequence(1, greatest(size({words}) - {_RUN - 1}, 1)), i -> xxhash64(array_join(slice({words}, i, {_RUN}), ' ')))"
+
+
+def _led_by_runs(common: DataFrame, offered: DataFrame, bodies: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fid, tid) of ``common(fid, digest)``: of the texts that ``offered(digest, tid)`` has for a digest, those that can hold all lines.
+
+    ``bodies(fid, lines)`` and ``texts(tid, words)`` have single spaces between and around words. A text that holds all lines
+    has each run of words in them, so the body's rarest run leads to it; a body with a run that no such text has has none.
+    """
+    asked = bodies.join(common.select("fid").distinct(), "fid", "left_semi")
+    runs = f"array_distinct(flatten(transform(transform(lines, x -> split(trim(x), ' ')), w -> {_runs('w')})))"
+    asked = scratch.save(asked.select("fid", F.expr(f"explode({runs})").alias("run")), "runs")
+    tids = offered.join(common.select("digest").distinct(), "digest", "left_semi").select("tid").distinct()
+    # shorter runs than _RUN are whole lines; a text has them at any place
+    shorter = [f"transform(sequence(1, size(w)), i -> xxhash64(array_join(slice(w, i, {n}), ' ')))" for n in range(1, _RUN)]
+    each = f"explode(array_distinct(concat({', '.join([_runs('w'), *shorter])})))"
+    split = texts.join(tids, "tid", "left_semi").select("tid", F.split(F.trim("words"), " ").alias("w"))
+    held = split.select("tid", F.expr(each).alias("run"))
+    counted = restrict(held, asked.select("run").distinct(), "run").groupBy("run").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = asked.join(counted, "run", "left").groupBy("fid").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "run")).alias("least"))
+    rarest = scratch.save(rarest.where("least.texts > 0").select("fid", "least.run"), "rarest")
+    found = restrict(held, rarest.select("run").distinct(), "run").join(rarest, "run").select("fid", "tid")
+    return found.join(common, "fid").join(offered, ["digest", "tid"], "left_semi").select("fid", "tid").distinct()
+
+
 def _holders(bodies: DataFrame, named: DataFrame, scratch: Scratch) -> DataFrame:
     """(fid, tid) of ``bodies(fid, body)`` and ``named(tid, text)``: the texts that hold all lines of a body, word by word and in order.
 
@@ -55,14 +83,16 @@ def _holders(bodies: DataFrame, named: DataFrame, scratch: Scratch) -> DataFrame
     asked = scratch.save(_parts(bodies, "body", "fid"), "asked")
     offered = _parts(named, "text", "tid").join(asked.select("digest").distinct(), "digest", "left_semi").distinct()
     offered = scratch.save(offered, "offered")
-    known = asked.join(offered.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")), "digest")
-    least = known.groupBy("fid").agg(F.min(F.struct("texts", "digest")).alias("least"))
-    led = known.join(least, "fid").where((F.col("texts") <= _FEW) | (F.col("digest") == F.col("least.digest"))).select("fid", "digest")
-    pairs = led.join(offered, "digest").select("fid", "tid").distinct()
+    known = scratch.save(asked.join(offered.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")), "digest"), "known")
     texts = named.join(offered.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.min("text").alias("text"))
     spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     lines = F.filter(F.transform(F.split("body", _CUT), normalised), lambda x: x != "")
     bodies, texts = bodies.select("fid", F.transform(lines, spaced).alias("lines")), texts.select("tid", spaced(normalised(F.col("text"))).alias("words"))
+    pairs = known.where(F.col("texts") <= _FEW).join(offered, "digest").select("fid", "tid").distinct()
+    common = known.where(F.col("texts") > _FEW).select("fid", "digest")
+    if not common.limit(1).isEmpty():
+        bodies, texts = scratch.save(bodies, "body-lines"), scratch.save(texts, "words")
+        pairs = pairs.union(_led_by_runs(common, offered, bodies, texts, scratch)).distinct()
     # the place after each line, from which the next one is looked for; 0 where one is missing
     end = "aggregate(lines, 1, (at, x) -> if(at = 0 or locate(x, words, at) = 0, 0, locate(x, words, at) + length(x) - 1))"
     return scratch.save(pairs.join(bodies, "fid").join(texts, "tid").where(F.expr(end) > 0).select("fid", "tid"), "holders")
@@ -80,7 +110,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     messages; of equal texts the first of the same conversation before the reply counts, else the first of an earlier
     conversation (by conv_id and turn). A passage not found so is trimmed or put together from parts: it goes, by the same
     choice, to a message that shares a paragraph, line or sentence with it and holds the words of all its lines in order,
-    with gaps between lines or where it has an ellipsis. The message replied to is that of the first level-1 passage with an original.
+    with gaps between lines or where it has an ellipsis. However many messages share a part, none is left out. The message replied to is that of the first level-1 passage with an original.
     Passages without words link to nothing. A message without a link starts a thread. Null texts are empty; null conv_id or
     turn sort first as usual and are not linked to. Rows that repeat a message are messages of their own. Extra columns are
     ignored; an empty table gives an empty result.

@@ -1,3 +1,5 @@
+import random
+
 from orfspark.llm import quotes
 
 MESSAGES = "conv_id long, turn long, role string, text string"
@@ -75,6 +77,26 @@ def test_trimmed_quotations(spark):
     assert ((got[2, 0].reply_conv, got[2, 0].reply_turn), got[0, 0].reply_conv, got[1, 0].reply_turn) == ((1, 1), None, None)
 
 
+def test_an_original_with_only_a_common_part(spark):
+    common = [(1, t, "u", f"Yes, I agree. Number {t}.") for t in range(1, 120)]
+    rows = [(1, 0, "u", "Yes, I agree. The quick brown fox jumps."), *common, (1, 200, "u", "Quick brown fox."), (2, 0, "u", "> Yes, I agree.\n> quick brown fox\nx")]
+    got = _got(spark, rows)[2, 0]
+    assert (got.n_linked, got.reply_conv, got.reply_turn) == (1, 1, 0)
+
+
+def test_common_parts_lead_to_all_holders(spark, monkeypatch):
+    rng = random.Random(3)
+    lines = ["Yes.", "I agree with that.", "No way.", "a b c d e f", "b c", "Why not try it? It is easy.", "…", "d e"]
+    some = lambda n: "\n".join(rng.choice(lines) for _ in range(rng.randint(1, n)))
+    texts, bodies = sorted({some(6) for _ in range(150)}), sorted({some(3) for _ in range(80)})
+    named, asked = spark.createDataFrame(list(enumerate(texts)), "tid long, text string"), spark.createDataFrame(list(enumerate(bodies)), "fid long, body string")
+    found = []
+    for few in (10**9, 20, 0):
+        monkeypatch.setattr(quotes, "_FEW", few)
+        found.append({(r.fid, r.tid) for r in quotes._holders(asked, named, quotes.Scratch(spark, "test")).collect()})
+    assert len(found[0]) > 200 and found[0] == found[1] == found[2]
+
+
 def test_odd_rows(spark):
     rows = [(None, 0, None, "hello there"), (1, None, "u", None), (1, 0, "u", ""), (1, 0, "u", ""), (2, 0, "u", "> hello there\n"), (2, 1, "u", ">" * 500 + " x\n" + "> y\n" * 3000)]
     df = quotes.link_quotes(spark.createDataFrame(rows, MESSAGES))
