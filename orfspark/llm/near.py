@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import column, steps
@@ -293,13 +293,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = scratch.save(sketches.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("class_id")), "classes", sketches.count())
     heads = restrict(sketches.where("n_shingles > 0"), classes.select("class_id"), "doc_id")
     each = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring(F.col("regs"), b * (2 * BAND) + 1, F.lit(2 * BAND)), b)))
-    bands = heads.select("doc_id", "n_shingles", each.alias("band", "key"))
-    draw = F.struct(F.xxhash64("doc_id", "key").alias("draw"), F.col("doc_id").alias("doc_id"), F.col("n_shingles").alias("n_shingles"))
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(draw).alias("head")).where("rows > 1")
-    buckets = scratch.save(buckets.select("key", "rows", F.col("head.doc_id").alias("head"), F.col("head.n_shingles").alias("head_n")), "buckets")
-    few = buckets.count() <= BROADCAST_IDS  # 40 bytes each
-    members = bands.join(F.broadcast(buckets) if few else buckets, "key")
-    members = scratch.save(members.select("key", "band", "rows", "doc_id", "n_shingles", "head", "head_n"), "members")
+    # rows are dealt out by key once, for both a bucket's size and its drawn member; band and size travel as one number
+    bands = heads.select("doc_id", "n_shingles", each.alias("band", "key")).select("key", "doc_id", (F.col("n_shingles") * BANDS + F.col("band")).alias("packed"))
+    draw = F.struct(F.xxhash64("doc_id", "key").alias("draw"), F.col("doc_id").alias("doc_id"), F.col("packed").alias("packed"))
+    bucket = Window.partitionBy("key")
+    members = bands.select("*", F.count(F.lit(1)).over(bucket).alias("rows"), F.min(draw).over(bucket).alias("first")).where("rows > 1")
+    size_of = lambda c: F.expr(f"{c} div {BANDS}")
+    members = members.select("key", F.pmod("packed", F.lit(BANDS)).cast("int").alias("band"), "rows", "doc_id", size_of("packed").alias("n_shingles"), F.col("first.doc_id").alias("head"), size_of("first.packed").alias("head_n"))
+    members = scratch.save(members, "members")
 
     size = 100 * F.least("n_shingles", "head_n") >= PERCENT * F.greatest("n_shingles", "head_n")
     star = members.where(size & (F.col("doc_id") != F.col("head"))).select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
@@ -317,7 +318,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # of each bucket with several components: the largest one and the number of rows outside it
     by_comp = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("own")).groupBy("key")
     mixed = by_comp.agg(F.max(F.struct("own", "comp")).alias("most"), (F.sum("own") - F.max("own")).alias("others")).where("others > 0")
-    mixed = scratch.save(mixed.select("key", F.col("most.comp").alias("largest"), F.col("most.own").alias("inside"), "others"), "mixed", buckets.count())
+    mixed = scratch.save(mixed.select("key", F.col("most.comp").alias("largest"), F.col("most.own").alias("inside"), "others"), "mixed", members.count() // 2)
     rest = now.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "key")
     rest = scratch.save(rest.withColumn("most", F.col("comp") == F.col("largest")), "rest")
     slim = restrict(sketches, scratch.save(rest.select("doc_id").distinct(), "rest-ids", rest.count()), "doc_id").select("doc_id", "n_shingles", "regs", "once", "twice")
@@ -333,7 +334,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spread = spread.select("key", "meets.bi", "meets.bj", "block", "band", "comp", "doc_id", "n_shingles", "regs", "once", "twice")
     spread = spread.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     more = scratch.save(spread.mapInArrow(_compare, "a long, b long").distinct(), "more")
-    scratch.drop("now", "rest", "rest-ids", "members", "buckets", "mixed")
+    scratch.drop("now", "rest", "rest-ids", "members", "mixed")
     extra = scratch.save(confirm(more, docs, scratch, "extra"), "extra")
     if not extra.limit(1).isEmpty():
         links = links.union(extra)

@@ -48,6 +48,25 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     _check(spark, texts)
 
 
+def test_band_rows_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(near, "BROADCAST_IDS", 0)  # as for large tables
+    plans, save = [], Scratch.save
+
+    def watched(self, df, name, rows=None):
+        if name in ("buckets", "members"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df, name, rows)
+
+    monkeypatch.setattr(Scratch, "save", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _check(spark, _corpus(4, groups=3, size=6, extra=5))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(p.count("Exchange hashpartitioning(key") for p in plans) == 1
+
+
 def test_chain(spark):
     """Each text links to its neighbours only; all are one component."""
     words = [f"w{i}" for i in range(400)]
